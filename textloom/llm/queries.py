@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language_id, media, mixing, packing, quality_classifier, quality_rules, sharding, url_filter
+from textloom.llm import language_id, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measures(_table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies", "source")
 
@@ -48,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mixing": op4_mixing,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
