@@ -99,5 +99,7 @@ def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", ma
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
     rates = materialize(host_rates(with_base_measures(packed, "text", ["host"])), "hosts")
     bad = rates.where(F.col("rate") > max_host_rate).select("host")
-    passed = with_base_measures(packed, "text", ["row", "host"]).where("not base_failed")
+    # the id keeps the filter above the measures: pushed below them it would repeat their expressions over and over
+    scored = with_base_measures(packed, "text", ["row", "host"]).withColumn("__above", F.monotonically_increasing_id())
+    passed = scored.where("__above >= 0 and not base_failed")
     return passed.join(bad, "host", "left_anti").select("row.*")
