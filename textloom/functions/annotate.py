@@ -32,14 +32,20 @@ def parts(text: Column) -> Column:
 
 
 def lemma(text: Column) -> Column:
-    found = parts(text)
-    last = F.lower(F.coalesce(F.get(found, F.size(found) - 1), text))
-    whole = F.size(found) == 0
-    out = F.when(whole, last)
-    for suffix in L.LEMMA_SUFFIXES:
-        n = len(suffix)
-        out = out.when(last.endswith(suffix) & (F.length(last) > n + L.LEMMA_LEAST), F.substring(last, F.lit(1), F.length(last) - n))
-    return out.otherwise(last)
+    """The last part in lower case without its first fitting suffix; the whole text where there is no part.
+
+    One-element arrays bind the parts and the word, so that neither is worked out again for every suffix.
+    """
+    bound = F.transform(F.array(parts(text)), lambda p: F.struct((F.size(p) == 0).alias("whole"), F.lower(F.coalesce(F.get(p, F.size(p) - 1), text)).alias("word")))
+
+    def cut(b: Column) -> Column:
+        word, out = b["word"], F.when(b["whole"], b["word"])
+        for suffix in L.LEMMA_SUFFIXES:
+            n = len(suffix)
+            out = out.when(word.endswith(suffix) & (F.length(word) > n + L.LEMMA_LEAST), F.substring(word, F.lit(1), F.length(word) - n))
+        return out.otherwise(word)
+
+    return F.get(F.transform(bound, cut), F.lit(0))
 
 
 def tag(text: Column) -> Column:
