@@ -20,7 +20,7 @@ def number_rows(df: DataFrame, order: list, groups: list[str], name: str = "numb
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = materialize(df, "num").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    keys = [*(F.col(g) for g in groups), *order, F.col("__file"), F.col("__row")]
+    keys = [*(F.col(g) for g in groups), *(F.col(c) if isinstance(c, str) else c for c in order), F.col("__file"), F.col("__row")]
     dealt = stored.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__file", "__row")
     placed = materialize(dealt.withColumn("__part", F.spark_partition_id()), "num")
     placed = placed.withColumn("__row", F.col("_metadata.row_index"))
