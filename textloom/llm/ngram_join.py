@@ -8,8 +8,9 @@ when den * |A & B| >= num * |A | B|.
    fixed size that is broadcast. Every set is ordered rare-first: by counter, then by hash. Any fixed
    order keeps the join whole; this one keeps what many documents share out of the prefixes.
 3. Sets that link share a shingle among their first n - ceil(n * num / den) + 1. These prefixes are joined
-   on the shingle under the length filter, the positional filter and a suffix filter: 128 parity
-   bits of each set, whose distance is at most the sets' symmetric difference.
+   on the shingle under the length filter, the positional filter and two suffix filters that split the sets
+   into cells by hash: 128 parity bits inside the join, then the members of 64 cells, counted, for each
+   pair. Both differ by at most the sets' symmetric difference, so no link is lost.
 4. Links are only needed between different components. First each shingle's posting list is joined to
    one pivot, the set in which the shingle stands earliest, which is linear in the list and links a group of near
    copies without making its pairs. Then only pairs of sets in different components are still
@@ -36,6 +37,7 @@ from textloom.operators.components import connected_components
 from textloom.scratch import materialize
 
 BUCKET_BITS = 18
+BITMAP_BITS = 23
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
@@ -51,6 +53,12 @@ def parity(found: np.ndarray) -> tuple[int, int]:
     return int(low), int(high)
 
 
+def cell_counts(found: np.ndarray) -> bytes:
+    """Members in each of 64 cells, 255 at most: sets differ by at least the sum of these differences."""
+    n = np.bincount((mix64(found ^ np.uint64(0xC0AC29B7C97C50DD)) & np.uint64(63)).astype(np.int64), minlength=64)
+    return np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - (n * num + den - 1) // den + 1
 
@@ -87,7 +95,7 @@ def _scan(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 def _classes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """One row per distinct set: cid, fp1, fp2, n, min_doc, prefix (rare-first), parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
-    names = ["doc_id", "fp1", "fp2", "n", "prefix", "bits1", "bits2"]
+    names = ["doc_id", "fp1", "fp2", "n", "prefix", "bits1", "bits2", "cells"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = shared.value
@@ -104,10 +112,10 @@ def _classes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
                 prefixes.append(s[np.lexsort((s, count))][:take])
             fps, bits = [fingerprint(s) for s in sets], [parity(s) for s in sets]
             cols = [[a for a, _ in fps], [b for _, b in fps], [len(s) for s in sets]]
-            yield _batch([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, pa.int64()) for c in cols], long_lists(prefixes), pa.array([a for a, _ in bits], pa.int64()), pa.array([b for _, b in bits], pa.int64())], names)
+            yield _batch([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, pa.int64()) for c in cols], long_lists(prefixes), pa.array([a for a, _ in bits], pa.int64()), pa.array([b for _, b in bits], pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary())], names)
 
-    found = docs.mapInArrow(work, "doc_id long, fp1 long, fp2 long, n long, prefix array<long>, bits1 long, bits2 long")
-    one = found.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("min_doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits1", "bits2")])
+    found = docs.mapInArrow(work, "doc_id long, fp1 long, fp2 long, n long, prefix array<long>, bits1 long, bits2 long, cells binary")
+    one = found.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("min_doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits1", "bits2", "cells")])
     return materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
@@ -126,6 +134,22 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
 
 
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose cells do not already show them to be too far apart."""
+    side = lambda k, n, c: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("cells").alias(c))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n = (batch.column(i).to_numpy() for i in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16) for i in (4, 5))
+            need = (num * (m + n) + num + den - 1) // (num + den)
+            keep = np.abs(x - y).sum(axis=1) <= m + n - 2 * need
+            yield _batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    joined = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return materialize(joined.mapInArrow(work, "a long, b long"), "near")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     left, right = sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), sets.select(F.col("cid").alias("b"), F.col("members").alias("y"))
 
@@ -145,14 +169,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """Which of ``2 ** BITMAP_BITS`` cells hold a wanted class: a table of fixed size, 64 cells to a row."""
+    cell = F.shiftrightunsigned("fp1", 64 - BITMAP_BITS)
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    rows = wanted.select(cell.alias("cell")).select(F.shiftright("cell", 6).alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
+    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, members) of the wanted classes, from one text each."""
+    """(cid, members) of the wanted classes, from one text each.
+
+    Texts whose class misses the bitmap are not shuffled; where it is full they all are, and the join decides.
+    """
+    wanted = materialize(wanted, "wanted")
+    cells = docs.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(wanted)))
     names = ["fp1", "fp2", "text"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.unpackbits(cells.value).astype(bool)
         for batch in slices(batches):
-            fps = [fingerprint(s) for s in distinct_shingles(batch.column(1), n)]
-            yield _batch([pa.array([a for a, _ in fps], pa.int64()), pa.array([b for _, b in fps], pa.int64()), batch.column(1)], names)
+            fps = np.array([fingerprint(s) for s in distinct_shingles(batch.column(1), n)], np.int64).reshape(-1, 2)
+            keep = pa.array(np.flatnonzero(hit[(fps[:, 0].view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]))
+            yield _batch([pa.array(fps[:, 0]).take(keep), pa.array(fps[:, 1]).take(keep), batch.column(1).take(keep)], names)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -169,20 +210,26 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     classes = _classes(named, counters, n, num, den)
     postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     # the earliest posting, by place and then by a hash of its set
+    early = F.expr(f"pos <= n - ({2 * num} * n + {num + den - 1}) div {num + den}")
     rank = F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.xxhash64("cid").bitwiseAND(F.lit((1 << 40) - 1)))
-    postings = postings.withColumn("rank", rank)
-    shared = postings.groupBy("token").agg(F.count("*").alias("__n"), F.min("rank").alias("first")).where("__n > 1").drop("__n")
-    met = postings.join(shared, "token").select("token", "cid", "n", "pos", (F.col("rank") == F.col("first")).alias("pivot"))
+    # of two linked sets, the smaller has their first shared shingle at such a place
+    shared = postings.groupBy("token").agg(F.count("*").alias("__n"), F.min(rank).alias("first"), F.max(early).alias("__early")).where("__n > 1 and __early").select("token", "first")
+    met = postings.join(shared, "token").select("token", "cid", "n", "pos", (rank == F.col("first")).alias("pivot"))
     met = materialize(met.join(classes.select("cid", "bits1", "bits2"), "cid"), "postings")
-    sets = _sets_of(named, classes.join(met.select("cid").distinct(), "cid", "left_semi").select("fp1", "fp2", "cid"), n)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = _near(pairs, classes, num, den)
+        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        sets = _sets_of(named, classes.join(ends, "cid", "left_semi").select("fp1", "fp2", "cid"), n)
+        return materialize(_verify(pairs, sets, num, den), "links")
 
     filters = _may_link("a", "b", num, den)
     star = met.where("pivot").alias("a").join(met.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") != F.col("b.cid")) & filters)
     tried = materialize(_pairs(star), "pairs")
-    links = materialize(_verify(tried, sets, num, den), "links")
+    links = verified(tried)
     labels = materialize(connected_components(links), "labels")
-    rest = _across(met, labels, num, den).join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verify(rest, sets, num, den), "links")
+    rest = materialize(_across(met, labels, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = verified(rest)
     labels = connected_components(links.union(more))
     named_classes = classes.select("fp1", "fp2", "cid", "min_doc").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     return rows, materialize(named_classes.withColumn("component", F.coalesce("component", "cid")), "classes")
@@ -194,13 +241,13 @@ def _across(met: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     Posting lists are first taken by component, with bounds that hold for all of a component's sets, so
     that a list with one large and a few small components is not crossed with itself.
     """
-    by = met.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    by = materialize(met.drop("pivot").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "postings")
+    mixed = by.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    by = materialize(by.join(mixed, "token", "left_semi"), "postings")
     groups = by.groupBy("token", "component").agg(
         F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2")
     )
-    mixed = groups.groupBy("token").agg(F.count("*").alias("__n")).where("__n > 1").select("token")
-    by = materialize(by.join(mixed, "token", "left_semi"), "postings")
-    groups = materialize(groups.join(mixed, "token", "left_semi"), "groups")
+    groups = materialize(groups, "groups")
     g, h = groups.alias("g"), groups.alias("h")
     need = F.expr(f"({num} * (g.low + h.low) + {num + den - 1}) div {num + den}")
     alone = (F.col("g.m") == 1) & (F.col("h.m") == 1)
