@@ -6,29 +6,54 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom import scratch
 from textloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 
 
+#: Marks around the intermediate tables of the stage called last.
+_spent = [0, 0]
+
+
+def stage(function):
+    """Deletes what the stage before it kept in the shared folder: its result has been written by now."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release_between(*_spent)
+        _spent[0] = scratch.written()
+        out = function(spark, docs, sf_dir)
+        _spent[1] = scratch.written()
+        return out
+
+    return run_stage
+
+
+@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.clean_documents(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more; one document of each group stays."""
     return ngram_join.drop_near_copies(docs, n=5, num=80, den=100)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_documents(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
@@ -41,6 +66,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, apply in STAGES:
+        docs = scratch.materialize(apply(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

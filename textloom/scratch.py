@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str] | None] = []
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -49,7 +49,22 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def written() -> int:
+    """How many tables have been written so far; a mark for ``release_between``."""
+    return len(_written)
+
+
+def release_between(start: int, stop: int) -> None:
+    """Delete the tables written between two marks; only once nothing reads them any more."""
+    for i in range(start, stop):
+        if _written[i] is not None:
+            _delete(*_written[i])
+            _written[i] = None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped
+        return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
@@ -57,7 +72,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for spark, path in filter(None, _written):
         local = path.removeprefix("file://")
         if local.startswith("/"):
             shutil.rmtree(local, ignore_errors=True)
