@@ -1,6 +1,6 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged, with a softmax.
 
-Every word and every character 3- and 4-gram (white space counts as a word's edge) of a text has a row in
+Every word, every pair of neighbouring words and every character 3- and 4-gram (white space counts as a word's edge) of a text has a row in
 one hashed table of learned vectors. A document is the mean of its rows; a softmax layer over it gives
 the label's probability. Table and layer are trained by numpy stochastic gradient descent with a linearly
 falling rate on at most ``max_rows`` labelled documents, the ones whose ids hash lowest.
@@ -36,19 +36,25 @@ THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
+_PAIR = np.uint64(0x3F84D5B5B5470917)
+
+
 def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each row, the table rows of its words and of its characters' n-grams, repeats included.
+    """For each row, the table rows of its words, word pairs and characters' n-grams, repeats included.
 
-    Characters are taken as Unicode code points.
+    Characters are taken as Unicode code points. Pairs are hashed by the difference of their words, so all
+    immediate repeats of any word share one row.
     """
     data, off = utf8(column)
     starts, ends, first = words(data, off)
-    word_rows = (span_hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    hashes = span_hashes(data, starts, ends)
+    word_rows = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     texts = data.tobytes()
     for i in range(len(off) - 1):
         points = np.frombuffer(texts[off[i] : off[i + 1]].decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
         points[(points == 32) | ((points >= 9) & (points <= 13))] = 32
-        rows = [word_rows[first[i] : first[i + 1]]]
+        own = hashes[first[i] : first[i + 1]]
+        rows = [word_rows[first[i] : first[i + 1]], (mix64((own[1:] ^ own[:-1]) + _PAIR) >> np.uint64(64 - BITS)).astype(np.int64)]
         acc = np.full(len(points), 0x51, np.uint64)
         for k in range(max(GRAMS)):
             acc = acc[: len(points) - k] * np.uint64(0x100000001B3) + points[k:]
