@@ -133,11 +133,11 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = marked.groupBy("__id", "__t1", "__t2").agg(F.sort_array(F.collect_list(F.struct("first", "upto", "c1", "c2"))).alias("ranges"))
     # the first places too, for the comparison of bytes
     repeated = places.groupBy("c1", "c2").agg(F.count("*").alias("__n")).where("__n > 1").select("c1", "c2")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), *_key(F.col(doc_id), F.col(text)))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col(doc_id), F.col(text)))
     spots = places.join(repeated, ["c1", "c2"]).groupBy("__id", "__t1", "__t2").agg(F.collect_list(F.struct("first", "upto", "c1", "c2")).alias("spots"))
     spots = spots.join(keyed.withColumnRenamed("__id", "k0").withColumnRenamed("__t1", "k1").withColumnRenamed("__t2", "k2"), F.col("__id").eqNullSafe(F.col("k0")) & (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")), "left").select(F.col("__id").alias("s0"), F.col("__t1").alias("s1"), F.col("__t2").alias("s2"), "spots", "ranges")
     joined = row.join(spots, F.col("__id").eqNullSafe(F.col("s0")) & (F.col("__t1") == F.col("s1")) & (F.col("__t2") == F.col("s2")), "left").drop("s0", "s1", "s2")
-    joined = materialize(joined, "lines")
+    joined = materialize(joined, "lines").withColumn("text", F.col("row").getField(text))
     bytes_of = F.regexp_replace(F.substring(F.col("text").cast("binary"), (F.col("s.first") + 1).cast("int"), (F.col("s.upto") - F.col("s.first")).cast("int")).cast("string"), r"\n\z", "")
     found = joined.where("spots is not null").select("text", "__id", "__t1", "__t2", F.explode("spots").alias("s")).select("__id", "__t1", "__t2", "s.*", bytes_of.alias("bytes"))
     collided = materialize(found.groupBy("c1", "c2").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).where("x <> y").select("c1", "c2"), "collided")
