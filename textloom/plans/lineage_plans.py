@@ -12,6 +12,7 @@ from textloom.operators import graph as G
 from textloom.operators import lineage as N
 from textloom.operators import style as Y
 from textloom.plans.corpus_sql import TOKENS, WORD
+from textloom.scratch import materialize
 from textloom.sources import corpus as C
 
 MIN_WEIGHT = 20
@@ -24,7 +25,8 @@ def _documents(query):
 
 
 def _network(query, least: float = MIN_WEIGHT):
-    return lambda spark, sf_dir: query(G.cooccurrence(C.document_files(spark, sf_dir), 5, least))
+    """The edges are written once, as the measures read them several times."""
+    return lambda spark, sf_dir: query(materialize(G.cooccurrence(C.document_files(spark, sf_dir), 5, least), "network"))
 
 
 def _functions(query):
