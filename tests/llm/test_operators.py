@@ -140,7 +140,7 @@ def brute_line_dedup(texts):
             continue
         _, a, b, *_ = line_dedup.chunks(pa.array([t]))
         for x, y in zip(a.tolist(), b.tolist()):
-            spots[t.encode()[x:y].removesuffix(b"\n")].append((i, x, y))
+            spots[t.encode()[x:y].rstrip(b" \t\n\x0b\x0c\r")].append((i, x, y))
     gone = defaultdict(list)
     for places in spots.values():
         for i, x, y in sorted(places)[1:]:
@@ -149,7 +149,7 @@ def brute_line_dedup(texts):
     for i, t in enumerate(texts):
         raw, kept, at = (t or "").encode(), b"", 0
         for x, y in sorted(gone[i]):
-            kept, at = kept + raw[at:x], y
+            kept, at = kept + raw[at:x], max(at, y)
         text = (kept + raw[at:]).decode()
         out[i] = (len(gone[i]), t if not gone[i] else text.rstrip("\n"))
     return out
@@ -166,6 +166,37 @@ def test_line_dedup(spark, texts):
     assert line_dedup.clean_documents(docs.limit(0)).columns == docs.columns
 
 
+def test_line_dedup_finds_every_repeated_run(spark):
+    """Whatever two lines stand together in several texts stay only once, and no line is lost."""
+    rng = random.Random(8)
+    new = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(2, 30)))
+    passages = [[new() for _ in range(rng.randint(2, 5))] for _ in range(30)]
+    made = []
+    for i in range(120):
+        lines = [new() for _ in range(rng.randint(2, 6))]
+        at = rng.randrange(len(lines) + 1)
+        made.append("\n".join(lines[:at] + passages[i % 30] + [" "] * (i % 2) + lines[at:]))
+    rows = {r.row.doc_id: r.cleaned for r in line_dedup.remove_repeated(table(spark, made)).collect()}
+    for i, t in enumerate(made):
+        mine = [x for x in t.split("\n") if x.strip()]
+        want = mine if i < 30 else [x for x in mine if x not in passages[i % 30]]
+        assert [x for x in rows[i].split("\n") if x.strip()] == want
+
+
+def test_line_dedup_overlapping_runs(spark):
+    made = ["a a\nb b\nc c", "z z\nb b\nc c\nd d", "c c\nd d\nq q", "x\nx\nx\nx", "", None, "\n \n", "a a  \n\nb b\t\n"]
+    rows = {r.row.doc_id: (r.cleaned, r.bytes_removed) for r in line_dedup.remove_repeated(table(spark, made)).collect()}
+    assert rows == {0: (made[0], 0), 1: ("z z\nd d", 8), 2: ("q q", 8), 3: ("x", 6), 4: ("", 0), 5: (None, 0), 6: ("\n \n", 0), 7: (made[7], 0)}
+
+
+def test_line_dedup_collisions(spark, texts, monkeypatch):
+    """With hashes of few values the comparison of bytes gives the same result."""
+    docs, found = table(spark, texts), line_dedup.chunk_table
+    want = {(r.row.doc_id, r.cleaned, r.chunks_removed) for r in line_dedup.remove_repeated(docs).collect()}
+    monkeypatch.setattr(line_dedup, "chunk_table", lambda *a: found(*a).selectExpr("__id", "__t1", "__t2", "first", "upto", "pmod(c1, 2) c1", "0L c2"))
+    assert {(r.row.doc_id, r.cleaned, r.chunks_removed) for r in line_dedup.remove_repeated(docs).collect()} == want
+
+
 def test_sharding(spark, texts):
     rows = sharding.shard_documents(table(spark, texts)).collect()
     assert len(rows) == len(texts)

@@ -88,12 +88,17 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values; equal runs give equal hashes anywhere."""
+    up, down = _power(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes; equal bytes give equal hashes anywhere."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return run_hashes(_BYTE[data], starts, ends)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,22 +2,24 @@
 
 A text's lines are cut into chunks where a rolling hash over the last two lines' hashes has its low bits
 zero, so that an inserted line moves only the boundaries beside it. A line of ``LONG_WORDS`` words or more is a
-chunk by itself, as it holds what would be several lines elsewhere, and ends the chunk before it.
+chunk by itself, as it holds what would be several lines elsewhere, and ends the chunk before it. Boundaries
+at the edges of a passage depend on what stands around it, so every pair of neighbouring shorter lines, the
+rolling hash's window, is a chunk as well: whatever run of two lines or more repeats is made of such pairs.
 Chunks of at least two lines, or of one long line, whose bytes occur more than once in the corpus stay only
-at their first place (smallest doc_id, then text hash, then place in the text).
+at their first place (smallest doc_id, then text hash, then place in the text); so every line stays at the
+first of its places.
 
 1. Chunks' 128-bit hashes and places are written as a narrow table and counted; hot chunks are combined
-   before the shuffle.
-2. Places whose hash repeats are joined to their documents by (doc_id, text hash), the only shuffle of
-   texts.
+   before the shuffle. Only places whose hash repeats go on.
+2. These are joined to their documents by (doc_id, text hash), the only shuffle of texts.
 3. Bytes are compared: a repeated hash's chunks must have equal least and greatest bytes. Where hashes
    collide, chunks are counted again by their bytes.
-4. Removal cuts the bytes of the marked chunks out of each text.
+4. Removal cuts the bytes of the marked chunks, which may overlap, out of each text.
 
 Defined results: null text stays null; empty text stays empty; rows that repeat both doc_id and text are
-one place and get the same result; a null doc_id orders last; blank lines belong to the chunk
-around them; an empty table gives an empty result; columns besides text (and n_chars, where it is asked
-for) pass through unchanged.
+one place and get the same result; a null doc_id orders last; lines without words belong to the line before
+them and white space at a chunk's end is not compared; an empty table gives an empty result; columns besides
+text (and n_chars, where it is asked for) pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.arrowtext import mix64, slices, span_hashes, utf8, words
+from textloom.llm.arrowtext import mix64, run_hashes, slices, span_hashes, utf8, words
+from textloom.llm.words import SPACES
 from textloom.scratch import materialize
 
 #: A boundary falls after a line when these low bits of the rolling hash are zero: every second line.
@@ -43,46 +46,44 @@ _SALT = np.uint64(0x452821E638D01377)
 def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, start byte, end byte, lines, hash, second hash) of all chunks that may be removed.
 
-    Bytes run from the first line's start to the last line's line feed (or the text's end).
+    Bytes run from the first line's start to the start of the next line with words (or the text's end).
     """
     data, off = utf8(column)
     feed = np.flatnonzero(data == 10)
     ends = np.unique(np.concatenate([feed + 1, off[1:]]))
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    word_starts, word_ends, _ = words(data, off)
+    upto_word = np.searchsorted(word_starts, ends)
+    n_words = upto_word - np.searchsorted(word_starts, starts)
+    starts, upto_word, n_words = starts[n_words > 0], upto_word[n_words > 0], n_words[n_words > 0]
     row = np.searchsorted(off, starts, side="right") - 1
-    tail = (data[ends - 1] == 10) if len(ends) else np.zeros(0, bool)
-    line = span_hashes(data, starts, ends - tail)
-    word_starts, _, _ = words(data, off)
-    n_words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
-    long = n_words >= LONG_WORDS
-    new_row = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    inner = word_ends[upto_word - 1]
+    same = row[1:] == row[:-1]
+    ends = off[row + 1]
+    ends[:-1] = np.where(same, starts[1:], ends[:-1])
+    n, line, long = len(row), span_hashes(data, starts, inner), n_words >= LONG_WORDS
     rolling = line.copy()
     for k in range(1, WINDOW):
-        before = np.zeros(len(line), np.uint64)
-        if len(line) > k:
+        before = np.zeros(n, np.uint64)
+        if n > k:
             before[k:] = np.where(row[k:] == row[:-k], line[:-k], np.uint64(0))
         rolling = mix64(rolling + before * np.uint64(2 * k + 1))
-    cut_after = (rolling & np.uint64((1 << BOUNDARY_BITS) - 1)) == 0
-    first = new_row | long | np.concatenate([[True], cut_after[:-1] | long[:-1]])[: len(row)]
+    cut_after = long | ((rolling & np.uint64((1 << BOUNDARY_BITS) - 1)) == 0)
+    first = long.copy()
+    first[:1] = True
+    first[1:] |= ~same | cut_after[:-1]
     # no chunk is longer than MAX_LINES
     at = np.flatnonzero(first)
-    run = np.arange(len(row)) - np.repeat(at, np.diff(np.append(at, len(row)))) if len(row) else np.zeros(0, np.int64)
-    first |= run % MAX_LINES == 0
+    first |= (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % MAX_LINES == 0
     at = np.flatnonzero(first)
-    upto = np.append(at[1:], len(row)) if len(at) else at
-    lines = upto - at
-    keep = (lines >= 2) | long[at]
-    at, upto, lines = at[keep], upto[keep], lines[keep]
-    a, b = starts[at], ends[upto - 1]
-    # without the last line feed, so that a chunk at a text's end equals the same chunk inside one
-    inner = b - tail[upto - 1]
-    h1 = span_hashes(data, a, inner)
-    h2 = np.zeros(len(at), np.uint64)
-    for i, (x, y) in enumerate(zip(at, upto)):
-        h2[i] = mix64(np.bitwise_xor.reduce(mix64(line[x:y] + _SALT * np.arange(1, y - x + 1, dtype=np.uint64)))[None])[0]
-    base = off[row[at]]
-    return row[at], a - base, b - base, lines, h1.view(np.int64), h2.view(np.int64)
+    upto = np.append(at[1:], n)[: len(at)]
+    keep = (upto - at > 2) | long[at]  # chunks of two lines are pairs
+    pair = np.flatnonzero(same & ~long[1:] & ~long[:-1])
+    at, upto = np.concatenate([at[keep], pair]), np.concatenate([upto[keep], pair + 2])
+    a, b, base = starts[at], ends[upto - 1], off[row[at]]
+    h1, h2 = span_hashes(data, a, inner[upto - 1]), run_hashes(mix64(line + _SALT), at, upto)
+    return row[at], a - base, b - base, upto - at, h1.view(np.int64), h2.view(np.int64)
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -109,49 +110,54 @@ def _owner(place: Column | str = "first") -> Column:
     return F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col(place).alias("first")))
 
 
-def _mark(places: DataFrame, by: list[str]) -> DataFrame:
-    """The places to remove: those of chunks found more than once, but for the first."""
+def _flag(places: DataFrame, by: list[str]) -> DataFrame:
+    """Places of chunks found more than once, with ``drop``: is it not the first."""
     owned = places.groupBy(*by).agg(F.count("*").alias("__n"), _owner().alias("o")).where("__n > 1").drop("__n")
     o = owned.select(*[F.col(c).alias(f"__{c}") for c in by], "o")
     met = places.join(o, [F.col(c) == F.col(f"__{c}") for c in by])
     own = F.col("o.id").eqNullSafe(F.col("__id")) & (F.col("o.t1") == F.col("__t1")) & (F.col("o.t2") == F.col("__t2")) & (F.col("o.first") == F.col("first"))
-    return met.where(~own).select("__id", "__t1", "__t2", "first", "upto", "c1", "c2")
+    return met.select("__id", "__t1", "__t2", "first", "upto", "c1", "c2", (~own).alias("drop"))
+
+
+def _per_document(flagged: DataFrame, *names: str) -> DataFrame:
+    """(three key columns, spots) as ``names``: each document's places in order."""
+    spots = F.sort_array(F.collect_list(F.struct("first", "upto", "c1", "c2", "drop")))
+    return flagged.groupBy("__id", "__t1", "__t2").agg(spots.alias("spots")).toDF(*names)
 
 
 def _cut(raw: Column, ranges: Column) -> Column:
-    """The text without the (sorted, disjoint) byte ranges, and without the line feeds that a cut leaves at its end."""
+    """The text without the byte ranges, sorted by their starts, and without the line feeds that a cut leaves at its end.
+
+    Ranges overlap only within MAX_LINES lines, each of which starts at most three.
+    """
+    near = 3 * MAX_LINES
+    done = F.transform(ranges, lambda r, i: F.array_max(F.transform(F.slice(ranges, F.greatest(i + 2 - near, F.lit(1)), F.least(i + 1, F.lit(near))), lambda x: x["upto"])))
     ends = F.concat(F.transform(ranges, lambda r: r["first"]), F.array(F.octet_length(raw).cast("long")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(ranges, lambda r: r["upto"]))
-    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    starts = F.concat(F.array(F.lit(0).cast("long")), done)
+    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).cast("string")
     return F.regexp_replace(F.array_join(F.zip_with(starts, ends, piece), ""), r"\n+\z", "")
 
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, cleaned, chunks_removed, bytes_removed): ``row`` is the whole input row as a struct."""
-    places = materialize(chunk_table(docs, doc_id, text).distinct(), "chunks")
-    marked = _mark(places, ["c1", "c2"])
-    keyed = marked.groupBy("__id", "__t1", "__t2").agg(F.sort_array(F.collect_list(F.struct("first", "upto", "c1", "c2"))).alias("ranges"))
-    # the first places too, for the comparison of bytes
+    places = materialize(chunk_table(docs, doc_id, text), "chunks")
     repeated = places.groupBy("c1", "c2").agg(F.count("*").alias("__n")).where("__n > 1").select("c1", "c2")
+    places = materialize(places.join(repeated, ["c1", "c2"], "left_semi").distinct(), "repeated")
+    flagged = materialize(_flag(places, ["c1", "c2"]), "flagged")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col(doc_id), F.col(text)))
-    spots = places.join(repeated, ["c1", "c2"]).groupBy("__id", "__t1", "__t2").agg(F.collect_list(F.struct("first", "upto", "c1", "c2")).alias("spots"))
-    spots = spots.join(keyed.withColumnRenamed("__id", "k0").withColumnRenamed("__t1", "k1").withColumnRenamed("__t2", "k2"), F.col("__id").eqNullSafe(F.col("k0")) & (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")), "left").select(F.col("__id").alias("s0"), F.col("__t1").alias("s1"), F.col("__t2").alias("s2"), "spots", "ranges")
+    spots = _per_document(flagged, "s0", "s1", "s2", "spots").withColumn("ranges", F.filter("spots", lambda s: s["drop"]))
     joined = row.join(spots, F.col("__id").eqNullSafe(F.col("s0")) & (F.col("__t1") == F.col("s1")) & (F.col("__t2") == F.col("s2")), "left").drop("s0", "s1", "s2")
     joined = materialize(joined, "lines").withColumn("text", F.col("row").getField(text))
-    bytes_of = F.regexp_replace(F.substring(F.col("text").cast("binary"), (F.col("s.first") + 1).cast("int"), (F.col("s.upto") - F.col("s.first")).cast("int")).cast("string"), r"\n\z", "")
+    bytes_of = F.rtrim(F.substring(F.col("text").cast("binary"), (F.col("s.first") + 1).cast("int"), (F.col("s.upto") - F.col("s.first")).cast("int")).cast("string"), F.lit(" " + SPACES))
     found = joined.where("spots is not null").select("text", "__id", "__t1", "__t2", F.explode("spots").alias("s")).select("__id", "__t1", "__t2", "s.*", bytes_of.alias("bytes"))
     collided = materialize(found.groupBy("c1", "c2").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).where("x <> y").select("c1", "c2"), "collided")
-    if collided.isEmpty():
-        ranges = F.col("ranges")
-    else:
-        by_bytes = _mark(found.join(collided, ["c1", "c2"], "left_semi"), ["bytes"]).union(marked.join(collided, ["c1", "c2"], "left_anti").select("__id", "__t1", "__t2", "first", "upto", "c1", "c2"))
-        again = by_bytes.distinct().groupBy("__id", "__t1", "__t2").agg(F.sort_array(F.collect_list(F.struct("first", "upto", "c1", "c2"))).alias("right")).toDF("a0", "a1", "a2", "right")
-        joined = joined.join(again, F.col("__id").eqNullSafe(F.col("a0")) & (F.col("__t1") == F.col("a1")) & (F.col("__t2") == F.col("a2")), "left")
-        ranges = F.col("right")
-    cleaned = F.when(ranges.isNull(), F.col("text")).otherwise(_cut(F.col("text").cast("binary"), ranges))
-    size = F.coalesce(F.size(ranges), F.lit(0)).cast("long")
-    cut = F.coalesce(F.aggregate(ranges, F.lit(0).cast("long"), lambda acc, r: acc + r["upto"] - r["first"]), F.lit(0).cast("long"))
-    return joined.select("row", cleaned.alias("cleaned"), F.when(ranges.isNull(), 0).otherwise(size).cast("long").alias("chunks_removed"), cut.alias("bytes_removed"))
+    if not collided.isEmpty():
+        by_bytes = _flag(found.join(collided, ["c1", "c2"], "left_semi").drop("drop").distinct(), ["bytes"]).union(flagged.join(collided, ["c1", "c2"], "left_anti").select(flagged.columns))
+        again = _per_document(by_bytes.where("drop"), "a0", "a1", "a2", "ranges")
+        joined = joined.drop("ranges").join(again, F.col("__id").eqNullSafe(F.col("a0")) & (F.col("__t1") == F.col("a1")) & (F.col("__t2") == F.col("a2")), "left")
+    n = F.coalesce(F.when(F.col("ranges").isNotNull(), F.size("ranges")), F.lit(0)).cast("long")
+    done = joined.select("row", "text", F.when(n == 0, F.col("text")).otherwise(_cut(F.col("text").cast("binary"), F.col("ranges"))).alias("cleaned"), n.alias("chunks_removed"))
+    return done.select("row", "cleaned", "chunks_removed", F.coalesce(F.octet_length("text") - F.octet_length("cleaned"), F.lit(0)).cast("long").alias("bytes_removed"))
 
 
 def clean_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
