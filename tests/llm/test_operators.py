@@ -242,11 +242,13 @@ def test_urls(spark):
     pages = [
         (1, "http://a.EXAMPLE.net/en/x", None), (2, "https://foo.net/y?q", ""), (3, "http://b.org/fr/1", None), (4, "http://x.example.com/de/1", '<link rel="canonical" href="/moved">'), (5, "http://x.example.com/moved", None),
         (6, "http://q.com/1", '<meta http-equiv="refresh" content="0; url=http://b.org/fr/1">'), (7, None, None), (8, "nothing", "x"), (9, "http://q.com/2", '<link href="http://foo.net/z" rel=canonical>'), (10, "http://foo.net", None),
+        (11, "http://q.com/f/1", '<meta http-equiv=refresh content="0; url=g?x">'), (12, "http://q.com/f/g?x", '<link rel=canonical href="http://foo.net/y">'), (13, "http://q.com/f/2", '<link rel=canonical href="mailto:a">'), (14, "http://q.com", '<link rel=canonical href="f/1">'),
     ]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2] == ("foo.net", "/y", "net/", "block")
     assert got[4][3] == "block" and got[5] == ("x.example.com", "/moved", None, "block")
     assert got[6] == ("q.com", "/1", None, "allow") and got[9][3] == "block" and got[10] == ("foo.net", "", None, "allow")
+    assert [got[i][3] for i in (11, 12, 13, 14)] == ["block", "block", "allow", "block"]
     assert got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow")
 
 

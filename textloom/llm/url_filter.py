@@ -7,7 +7,7 @@ where an explicit allow goes before any block. Without either it is allowed.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, is no alias
 of anything and is allowed; null html has no edges; relative targets are resolved against the url's
-scheme and host; repeated urls are one node, each row is judged; an empty table gives an empty
+scheme, host and folder, but those that start with a dot are no edges, nor are other schemes without ``://``; repeated urls are one node, each row is judged; an empty table gives an empty
 result; other columns are ignored. Rules are a fixed, short list.
 """
 
@@ -63,6 +63,8 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     raw = pages.where(page.isNotNull() & F.col(html).isNotNull()).select(page.alias("page"), scheme.alias("scheme"), F.explode(targets).alias("to")).where("to <> ''")
     to = F.col("to")
     full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat("scheme", F.lit(":"), to)).when(to.startswith("/"), F.concat("scheme", F.lit("://"), host_of(F.col("page")), to))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("page")), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = F.when(to.rlike(r"^[^:/?#.][^:]*$"), F.concat("scheme", F.lit("://"), host_of(F.col("page")), folder, to)).otherwise(full)
     return raw.select(node_of(F.col("page")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a <> b")
 
 
