@@ -15,6 +15,7 @@ from textloom.plans.corpus_sql import TOKENS, WORD
 from textloom.scratch import materialize
 from textloom.sources import corpus as C
 
+#: Only the oracle's: its network SQL holds the edges of this weight and more.
 MIN_WEIGHT = 20
 DENSE_WEIGHT = 200
 EVENT_ROLES = {"view": "accessor", "click": "mutator", "error": "validator", "signup": "factory", "purchase": "dispatcher"}
@@ -24,8 +25,8 @@ def _documents(query):
     return lambda spark, sf_dir: query(C.document_files(spark, sf_dir))
 
 
-def _network(query, least: float = MIN_WEIGHT):
-    """The edges are written once, as the measures read them several times."""
+def _network(query, least: float = 1):
+    """Over all pairs that occur together. The edges are written once, as the measures read them several times."""
     return lambda spark, sf_dir: query(materialize(G.cooccurrence(C.document_files(spark, sf_dir), 5, least), "network"))
 
 
