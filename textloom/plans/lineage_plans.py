@@ -50,10 +50,10 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("language"))
 
 
-def _names(spark: SparkSession, sf_dir: str, k: int = 300) -> DataFrame:
-    """The k most frequent lower-cased ASCII words of over two letters: the identifiers of SURVEY 7.3."""
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct lower-cased ASCII words of over two letters, as identifiers."""
     words = C.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
-    return words.where(F.col("name").rlike("^[a-z]{3,}$")).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k).select("name")
+    return words.where(F.col("name").rlike("^[a-z]{3,}$")).distinct()
 
 
 def levenshtein_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ QUERIES = {
     "clone_matches": _functions(N.clone_matches),
     "file_similarity_pairs": _functions(N.file_similarity),
     "pdg_signature": _functions(N.pdg_signatures),
-    "identifier_families": lambda spark, sf_dir: N.identifier_families(_names(spark, sf_dir), 0.8),
+    "identifier_families": lambda spark, sf_dir: N.identifier_families(_names(spark, sf_dir)),
     "lineage_verdicts": _functions(N.lineage_verdicts),
 }
 
