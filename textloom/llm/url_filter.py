@@ -6,13 +6,17 @@ edges are found on the cluster, and a url without a rule of its own takes its co
 where an explicit allow goes before any block. Without either it is allowed.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, is no alias
-of anything and is allowed; null html has no edges; relative targets are resolved against the url's
-scheme, host and folder, but those that start with a dot are no edges, nor are other schemes without ``://``; repeated urls are one node, each row is judged; an empty table gives an empty
+of anything and is allowed; null html has no edges; every canonical and refresh tag of a page counts; entities
+in targets are decoded; relative targets are resolved as RFC 3986 says, with dot segments removed, but other
+schemes without ``://`` are no edges; repeated urls are one node, each row is judged; an empty table gives an empty
 result; other columns are ignored. Rules are a fixed, short list.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,24 +52,55 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
+def decoded(text: Column) -> Column:
+    """With character references that end in a semicolon replaced, decimal, hexadecimal and named ones."""
+    named = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    pieces = F.regexp_extract_all(text, F.lit(r"&#?[A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        code = F.regexp_extract(x, r"^&#0*([0-9]{1,7});$", 1)
+        digits = F.when(code != "", F.conv(code, 10, 16)).otherwise(F.upper(F.regexp_extract(x, r"^&#[xX]0*([0-9A-Fa-f]{1,6});$", 1)))
+        fits = digits.rlike("^([0-9A-F]{1,3}|[0-9A-CE-F][0-9A-F]{3}|D[0-7][0-9A-F]{2}|[1-9A-F][0-9A-F]{4}|10[0-9A-F]{4})$")
+        return F.when(~x.startswith("&"), x).when(fits, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(named, x), x))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash (or is empty) without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """Urls that differ only in the case of the host or in the fragment are one node; null without a host."""
+    """Urls that differ only in the case of the host, in dot segments or in the fragment are one node; null without a host."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), path_of(url), query))
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), without_dots(path_of(url)), query))
+
+
+def resolved(to: Column, page: Column) -> Column:
+    """A target as a whole url; null for one with a scheme but without ``://``. Dot segments stay, ``node_of`` removes them."""
+    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(page))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(page), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+    full = full.when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to))
+    return full.when(to.startswith("#"), page).when(to.startswith("?"), F.concat(site, path_of(page), to)).otherwise(F.concat(site, folder, to))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's node and the node its canonical link or refresh names."""
+    """(a, b): a page's node and the nodes its canonical links and refreshes name."""
     page = F.col(url)
-    targets = F.array(F.regexp_extract(F.col(html), _LINK, 1), F.regexp_extract(F.col(html), _REFRESH, 1))
-    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    raw = pages.where(page.isNotNull() & F.col(html).isNotNull()).select(page.alias("page"), scheme.alias("scheme"), F.explode(targets).alias("to")).where("to <> ''")
-    to = F.col("to")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat("scheme", F.lit(":"), to)).when(to.startswith("/"), F.concat("scheme", F.lit("://"), host_of(F.col("page")), to))
-    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("page")), r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    full = F.when(to.rlike(r"^[^:/?#.][^:]*$"), F.concat("scheme", F.lit("://"), host_of(F.col("page")), folder, to)).otherwise(full)
-    return raw.select(node_of(F.col("page")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a <> b")
+    targets = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(1)) for tag in (_LINK, _REFRESH)])
+    # one transform a step, so that no step's expression is repeated inside the next
+    full = F.transform(F.transform(targets, decoded), lambda to: resolved(to, page))
+    raw = pages.where(page.isNotNull() & F.col(html).isNotNull()).select(page.alias("page"), F.explode(full).alias("full"))
+    return raw.select(node_of(F.col("page")).alias("a"), node_of(F.col("full")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", redirects: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
