@@ -196,8 +196,9 @@ def language_distribution(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"))
 
 
-def content_languages(pages: DataFrame, text: str, chars: int = 2048) -> DataFrame:
-    """Counts and shares by the extension that the first characters of the content look like."""
-    counted = pages.select(A.content_language(F.substring(text, 1, chars)).alias("extension")).groupBy("extension").agg(F.count("*").alias("files"))
+def content_languages(pages: DataFrame, text: str, chars: int | None = None) -> DataFrame:
+    """Counts and shares by the extension that the content looks like; ``chars`` looks at a prefix only."""
+    content = F.col(text) if chars is None else F.substring(text, 1, chars)
+    counted = pages.select(A.content_language(content).alias("extension")).groupBy("extension").agg(F.count("*").alias("files"))
     total = counted.agg(F.sum("files").alias("total"))
     return counted.join(F.broadcast(total)).select("extension", "files", (F.col("files") / F.col("total")).alias("share"))
