@@ -39,13 +39,24 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("file_path"), F.col("lang").alias("language"), F.col("source").alias("author"), "text")
 
 
+def turn_id(conv_id: Column, turn: Column) -> Column:
+    """A number of its own for every (conv_id, turn), as decimal(38,0): conv_id * 1000 + turn below 1,000 turns.
+
+    Later turns lie beyond all of these, 2^64 to a conversation. Conversations of 2^61 and more with such
+    turns are past the type, which is an error, never an id given twice.
+    """
+    wide = lambda c: c.cast("decimal(20,0)")
+    late = F.lit(str(5 * 10**37)).cast("decimal(38,0)") + (wide(conv_id) * F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)") + wide(turn)
+    return F.when(turn.between(0, 999), (wide(conv_id) * 1000 + wide(turn)).cast("decimal(38,0)")).otherwise(late.cast("decimal(38,0)"))
+
+
 def conversation_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as function-like units."""
     c = table(spark, sf_dir, "conversations")
     name = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
     source = F.col("text")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("fn_id"), F.col("role").alias("name"), name.alias("qualified_name"), F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("start_line"),
+        turn_id(F.col("conv_id"), F.col("turn")).alias("fn_id"), F.col("role").alias("name"), name.alias("qualified_name"), F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("start_line"),
         F.size(A.words(source)).alias("token_count"), A.complexity(source).alias("cyclomatic_complexity"), A.calls(source).alias("calls"), source.alias("source_code"),
     )
 
