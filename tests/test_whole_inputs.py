@@ -26,3 +26,14 @@ def test_long_conversation(spark, tmp_path):
     assert len(pairs) == len(set(pairs)) == 3
     found = [tuple(sorted((r.qualified_name_a, r.qualified_name_b))) for r in entry.queries()["clone_matches"](spark, str(tmp_path)).where("clone_type = 'I'").collect()]
     assert found == [("0.1000", "1.0")]
+
+
+def test_documents_without_source_or_lang(spark, tmp_path):
+    docs = [(1, "inger runs home", "en", "web"), (2, "inger runs home", None, "web"), (3, "inger runs home", "en", None), (4, "inger runs home", None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    paths = {"web/1.en", "web/2.", "/3.en", "/4."}
+    for name in ("module_metrics", "information_profile", "shannon_entropy_file"):
+        assert sorted(r.file_path for r in run(name)) == sorted(paths)
+    assert {r.author: r.files for r in run("author_profile")} == {"web": 2, None: 2}
+    assert {r.text: r.freq for r in run("collocations")} == {"runs": 4, "home": 4}

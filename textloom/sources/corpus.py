@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    path = F.concat(known("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), known("lang"))
     return d.select(path.alias("file_path"), F.col("lang").alias("language"), F.col("source").alias("author"), "text")
 
 
