@@ -1,9 +1,12 @@
+import random
 from collections import Counter
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from textloom.functions.lexicon import STOP_WORDS
+from textloom.operators import graph as G
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["zorp blick zorp mund", "mund tarn", "solo", "krak"]
@@ -42,3 +45,39 @@ def test_heavy_edges_are_the_oracles(spark):
     got = entry.queries()["cooccurrence_edges"](spark, SF)
     assert want and sorted(tuple(r) for r in got.where("weight >= 20").collect()) == sorted(want)
     assert got.count() > len(want)
+
+
+def brute_betweenness(edges):
+    """From all pairs' distances and numbers of shortest paths."""
+    nodes = sorted({n for a, b, _ in edges for n in (a, b)})
+    near = {n: {} for n in nodes}
+    for a, b, w in edges:
+        near[a][b] = near[b][a] = w
+    far = {(x, y): 0 if x == y else near[x].get(y, float("inf")) for x in nodes for y in nodes}
+    for k in nodes:
+        for x in nodes:
+            for y in nodes:
+                far[x, y] = min(far[x, y], far[x, k] + far[k, y])
+    paths = {}
+    for x in nodes:
+        for y in sorted((y for y in nodes if far[x, y] < float("inf")), key=lambda y: far[x, y]):
+            paths[x, y] = 1 if x == y else sum(paths[x, v] for v, w in near[y].items() if far[x, v] + w == far[x, y])
+    n = len(nodes)
+    share = lambda s, t, v: paths[s, v] * paths[v, t] / paths[s, t] if far[s, v] + far[v, t] == far[s, t] else 0
+    return {v: sum(share(s, t, v) for s, t in paths if len({s, t, v}) == 3 and (s, v) in paths) / ((n - 1) * (n - 2)) for v in nodes}
+
+
+@pytest.mark.parametrize("batch_rows", [10**6, 70])
+def test_betweenness_in_batches(spark, batch_rows):
+    rng = random.Random(2)
+    edges = sorted({tuple(sorted(rng.sample("abcdefghijkl", 2))) for _ in range(20)} | {("x", "y"), ("y", "z")})
+    edges = [(a, b, rng.randint(1, 3)) for a, b in edges]
+    got = {r.node: r.betweenness for r in G.betweenness(spark.createDataFrame(edges, "a string, b string, weight long"), batch_rows=batch_rows).collect()}
+    assert got == pytest.approx(brute_betweenness(edges))
+
+
+def test_key_concepts_and_betweenness_hold_rare_pairs(spark, tmp_path):
+    sf, edges = fixture(spark, tmp_path), brute_edges()
+    want = brute_betweenness([(a, b, w) for (a, b), w in edges.items()])
+    assert {r.node: r.betweenness for r in entry.queries()["betweenness"](spark, sf).collect()} == pytest.approx(want)
+    assert {r.node for r in entry.queries()["key_concepts"](spark, sf).collect()} == set(want)

@@ -17,7 +17,6 @@ from textloom.sources import corpus as C
 
 #: Only the oracle's: its network SQL holds the edges of this weight and more.
 MIN_WEIGHT = 20
-DENSE_WEIGHT = 200
 EVENT_ROLES = {"view": "accessor", "click": "mutator", "error": "validator", "signup": "factory", "purchase": "dispatcher"}
 
 
@@ -25,9 +24,9 @@ def _documents(query):
     return lambda spark, sf_dir: query(C.document_files(spark, sf_dir))
 
 
-def _network(query, least: float = 1):
+def _network(query):
     """Over all pairs that occur together. The edges are written once, as the measures read them several times."""
-    return lambda spark, sf_dir: query(materialize(G.cooccurrence(C.document_files(spark, sf_dir), 5, least), "network"))
+    return lambda spark, sf_dir: query(materialize(G.cooccurrence(C.document_files(spark, sf_dir), 5), "network"))
 
 
 def _functions(query):
@@ -103,8 +102,8 @@ QUERIES = {
     "components": _network(G.communities),
     "pagerank_fixed_iter": _network(lambda e: G.pagerank(e, 5)),
     "eigenvector_fixed_iter": _network(lambda e: G.eigenvector(e, 5)),
-    "betweenness": _network(G.betweenness, DENSE_WEIGHT),
-    "key_concepts": _network(G.key_concepts, DENSE_WEIGHT),
+    "betweenness": _network(G.betweenness),
+    "key_concepts": _network(G.key_concepts),
     "call_edges": _functions(G.call_edges),
     "levenshtein_names": levenshtein_names,
     "jaccard_files": lambda spark, sf_dir: _source_pairs(spark, sf_dir, "jaccard"),
