@@ -133,14 +133,45 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def brute_line_dedup(texts):
+MASK = (1 << 64) - 1
+BYTE = [int(x) for x in np.random.default_rng(20_240_601).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
+
+
+def scramble(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def brute_chunks(text):
+    """(start byte, byte after the last word, start byte of what follows) by the rules of the docstring, one line after the other."""
+    raw = text.encode()
+    spans = []
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        new = not spans or b"\n" in raw[spans[-1][1] : m.start()] or raw[spans[-1][1] - 1 : spans[-1][1]] in (b".", b"!", b"?")
+        if new:
+            spans.append([m.start(), m.end()])
+        else:
+            spans[-1][1] = m.end()
+    line = [scramble((sum(BYTE[c] * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(raw[a:b])) + b - a) & MASK) for a, b in spans]
+    rolling = [None] + [scramble((scramble((x + 0x452821E638D01377) & MASK) + y) & MASK) for x, y in zip(line, line[1:])]
+    n, stands = len(spans), []
+    for i in range(n):
+        over = i == 0 or i == 1 or rolling[i] > rolling[i - 1]
+        stands.append(i == 0 or not (over and (i == n - 1 or rolling[i] >= rolling[i + 1])))
+    out = []
+    for i in range(n - 1):
+        if stands[i] or i == n - 2:
+            end = next((j for j in range(i + 2, n) if stands[j]), n)
+            out.append((spans[i][0], spans[end - 1][1], spans[end][0] if end < n else len(raw)))
+    return out
+
+
+def brute_line_dedup(texts, cut=brute_chunks):
     spots = defaultdict(list)
     for i, t in enumerate(texts):
-        if t is None:
-            continue
-        _, a, b, *_ = line_dedup.chunks(pa.array([t]))
-        for x, y in zip(a.tolist(), b.tolist()):
-            spots[t.encode()[x:y].rstrip(b" \t\n\x0b\x0c\r")].append((i, x, y))
+        for a, e, b in cut(t) if t is not None else []:
+            spots[t.encode()[a:e]].append((i, a, b))
     gone = defaultdict(list)
     for places in spots.values():
         for i, x, y in sorted(places)[1:]:
@@ -151,7 +182,7 @@ def brute_line_dedup(texts):
         for x, y in sorted(gone[i]):
             kept, at = kept + raw[at:x], max(at, y)
         text = (kept + raw[at:]).decode()
-        out[i] = (len(gone[i]), t if not gone[i] else text.rstrip("\n"))
+        out[i] = (len(gone[i]), t if not gone[i] else text.rstrip(" \t\n\x0b\x0c\r"))
     return out
 
 
@@ -166,34 +197,85 @@ def test_line_dedup(spark, texts):
     assert line_dedup.clean_documents(docs.limit(0)).columns == docs.columns
 
 
-def test_line_dedup_finds_every_repeated_run(spark):
-    """Whatever two lines stand together in several texts stay only once, and no line is lost."""
+@pytest.fixture(scope="module")
+def passages():
+    """(texts, passages): 120 texts, each with one of 30 passages of six lines or more between lines of its own, or inside one."""
     rng = random.Random(8)
-    new = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(2, 30)))
-    passages = [[new() for _ in range(rng.randint(2, 5))] for _ in range(30)]
+    new = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(2, 30))) + rng.choice(["", ".", "!"])
+    shared = [[new() + "." for _ in range(rng.randint(6, 9))] for _ in range(30)]
     made = []
     for i in range(120):
-        lines = [new() for _ in range(rng.randint(2, 6))]
-        at = rng.randrange(len(lines) + 1)
-        made.append("\n".join(lines[:at] + passages[i % 30] + [" "] * (i % 2) + lines[at:]))
+        own, at = [new() for _ in range(rng.randint(2, 6))], rng.randrange(3)
+        middle = shared[i % 30] if i % 2 else ["half a line " + " ".join(shared[i % 30]) + " the other half"]
+        made.append("\n".join(own[:at] + middle + [" "] * (i % 3) + own[at:]))
+    return made, shared
+
+
+def pieces(text):
+    return [x for x in re.split(r"(?<=[.!?])\s+|\n", text) if x.strip()]
+
+
+def test_line_dedup_finds_passages(spark, passages):
+    """Of a repeated passage at most the first two and the last three lines stay, and every line stays somewhere."""
+    made, shared = passages
     rows = {r.row.doc_id: r.cleaned for r in line_dedup.remove_repeated(table(spark, made)).collect()}
     for i, t in enumerate(made):
-        mine = [x for x in t.split("\n") if x.strip()]
-        want = mine if i < 30 else [x for x in mine if x not in passages[i % 30]]
-        assert [x for x in rows[i].split("\n") if x.strip()] == want
+        left = pieces(rows[i])
+        assert [x for x in left if x in pieces(t)] == left
+        if i >= 60:  # both forms of the passage came before
+            kept = [x for x in shared[i % 30] if x in left]
+            assert len(kept) <= 5 and set(shared[i % 30][2:-3]).isdisjoint(left)
+    assert {x for t in made for x in pieces(t)} == {x for t in rows.values() for x in pieces(t)}
+
+
+def test_line_dedup_is_decided_by_boundaries(spark, passages):
+    """Without the content-defined boundaries no passage is found."""
+    made, _ = passages
+    found = brute_line_dedup(made)
+    assert {r.row.doc_id: (r.chunks_removed, r.cleaned) for r in line_dedup.remove_repeated(table(spark, made)).collect()} == found
+    whole = lambda t: [(0, len(t.encode()), len(t.encode()))] if t else []
+    assert sum(n for n, _ in found.values()) > 200 and sum(n for n, _ in brute_line_dedup(made, whole).values()) == 0
+
+
+def test_line_dedup_boundaries_resist_shifts():
+    """Six lines that two texts share hold a whole chunk, wherever they stand; of two neighbouring lines one begins at a boundary."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        run = [f"{x}." for x in rng.integers(0, 10**9, 6)]
+        texts = [" ".join([*map(str, a), "x.", *run, *(f"{x}\n" for x in b)]) for a, b in ((rng.integers(0, 99, rng.integers(0, 9)), rng.integers(0, 99, rng.integers(0, 9))) for _ in range(2))]
+        row, *_, h = line_dedup.chunks(pa.array(texts))
+        inside = {x for x in h[row == 0]} & {x for x in h[row == 1]}
+        assert inside
+    row, line = np.sort(rng.integers(0, 40, 500)), rng.integers(0, 1 << 60, 500).astype(np.uint64)
+    stands = line_dedup.boundaries(row, line)
+    assert stands[1:][row[1:] != row[:-1]].all() and (stands[1:] | stands[:-1]).all()
 
 
 def test_line_dedup_overlapping_runs(spark):
-    made = ["a a\nb b\nc c", "z z\nb b\nc c\nd d", "c c\nd d\nq q", "x\nx\nx\nx", "", None, "\n \n", "a a  \n\nb b\t\n"]
+    made = ["a a\nb b\nc c", "a a\nb b\nc c", "x\nx\nx\nx", "", None, "\n \n", "one line only. ", "p. q. \t\n", "p. q."]
     rows = {r.row.doc_id: (r.cleaned, r.bytes_removed) for r in line_dedup.remove_repeated(table(spark, made)).collect()}
-    assert rows == {0: (made[0], 0), 1: ("z z\nd d", 8), 2: ("q q", 8), 3: ("x", 6), 4: ("", 0), 5: (None, 0), 6: ("\n \n", 0), 7: (made[7], 0)}
+    assert rows == {0: (made[0], 0), 1: ("", 11), 2: ("x\nx", 4), 3: ("", 0), 4: (None, 0), 5: ("\n \n", 0), 6: (made[6], 0), 7: (made[7], 0), 8: ("", 5)}
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_line_dedup_common_and_rare_chunks(spark, passages, monkeypatch, hot):
+    """Chunks joined by broadcast and by shuffle give the same result; so do null ids and repeated rows."""
+    made, _ = passages
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    docs = table(spark, made)
+    assert {r.row.doc_id: (r.chunks_removed, r.cleaned) for r in line_dedup.remove_repeated(docs).collect()} == brute_line_dedup(made)
+    twice = docs.union(docs.limit(3)).union(docs.where("doc_id = 7").selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "row", "kept"))
+    rows = line_dedup.remove_repeated(twice).collect()
+    assert len(rows) == 124 and len({(r.row.doc_id, r.cleaned) for r in rows}) == 121
+    assert next(r.cleaned for r in rows if r.row.doc_id is None) == ""
 
 
 def test_line_dedup_collisions(spark, texts, monkeypatch):
     """With hashes of few values the comparison of bytes gives the same result."""
-    docs, found = table(spark, texts), line_dedup.chunk_table
+    docs, found, compared = table(spark, texts), line_dedup.chunk_table, line_dedup.chunk_bytes
     want = {(r.row.doc_id, r.cleaned, r.chunks_removed) for r in line_dedup.remove_repeated(docs).collect()}
-    monkeypatch.setattr(line_dedup, "chunk_table", lambda *a: found(*a).selectExpr("__id", "__t1", "__t2", "first", "upto", "pmod(c1, 2) c1", "0L c2"))
+    monkeypatch.setattr(line_dedup, "chunk_table", lambda *a: found(*a).selectExpr("__id", "__t", "first", "upto", "pmod(c, 2) c"))
+    monkeypatch.setattr(line_dedup, "chunk_bytes", lambda docs, _, *a: compared(docs, np.ones(1024, np.uint8), *a).selectExpr("__id", "__t", "first", "upto", "pmod(c, 2) c", "bytes"))
     assert {(r.row.doc_id, r.cleaned, r.chunks_removed) for r in line_dedup.remove_repeated(docs).collect()} == want
 
 

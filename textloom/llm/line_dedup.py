@@ -1,25 +1,29 @@
 """Content-defined line chunks, repeated ones removed.
 
-A text's lines are cut into chunks where a rolling hash over the last two lines' hashes has its low bits
-zero, so that an inserted line moves only the boundaries beside it. A line of ``LONG_WORDS`` words or more is a
-chunk by itself, as it holds what would be several lines elsewhere, and ends the chunk before it. Boundaries
-at the edges of a passage depend on what stands around it, so every pair of neighbouring shorter lines, the
-rolling hash's window, is a chunk as well: whatever run of two lines or more repeats is made of such pairs.
-Chunks of at least two lines, or of one long line, whose bytes occur more than once in the corpus stay only
-at their first place (smallest doc_id, then text hash, then place in the text); so every line stays at the
-first of its places.
-
-1. Chunks' 128-bit hashes and places are written as a narrow table and counted; hot chunks are combined
-   before the shuffle. Only places whose hash repeats go on.
-2. These are joined to their documents by (doc_id, text hash), the only shuffle of texts.
-3. Bytes are compared: a repeated hash's chunks must have equal least and greatest bytes. Where hashes
-   collide, chunks are counted again by their bytes.
-4. Removal cuts the bytes of the marked chunks, which may overlap, out of each text.
+A line ends at a line feed and, since paragraphs are often stored as one line, after a word that ends in
+``.``, ``!`` or ``?``. A rolling hash runs over the hashes of the last two lines. A boundary stands before a line
+unless the rolling hash there is greater than at both neighbouring lines; so it depends on nothing but the four lines around
+it, an inserted line moves only the boundaries beside it, and of two neighbouring lines at least one begins at a boundary.
+From every boundary a chunk of at least two lines runs to the first boundary behind its second line, which is two or three
+lines, and the last two lines of a text are one, too; chunks overlap, and whatever run of six lines repeats holds a whole chunk. Chunks whose bytes occur more than once in the corpus
+stay only at their first place (smallest doc_id, then text hash, then place in the text); so every line
+stays at the first of its places. The one or two lines at a passage's start and up to three at its end whose chunks
+reach into what stands around it stay.
+
+1. Chunks' 64-bit hashes and places are written as a narrow table. They are counted, and their first places found, with
+   partial aggregation before the shuffle.
+2. Bytes are compared: a second scan hands on the bytes of chunks that a table of fixed size (as many cells as there are
+   repeated hashes, times 16, ``2 ** CELL_BITS`` at most) may hold, and a hash's least and greatest bytes must be
+   equal. Where hashes collide, chunks are counted again by their bytes.
+3. Places are joined to the first place of their chunk. Chunks that hold a thousandth of all places or more, of which there are
+   a thousand at most, are broadcast, so that no task gets all places of a common chunk.
+4. Ranges are joined to their documents by (doc_id, text hash), the only shuffle of texts, and cut out there; they may overlap.
 
 Defined results: null text stays null; empty text stays empty; rows that repeat both doc_id and text are
 one place and get the same result; a null doc_id orders last; lines without words belong to the line before
-them and white space at a chunk's end is not compared; an empty table gives an empty result; columns besides
-text (and n_chars, where it is asked for) pass through unchanged.
+them and white space at a chunk's end is not compared; a text of one line has no chunk; a very long text is read in one piece, by the task
+that holds its row; an empty table gives an empty result; columns besides text (and n_chars, where it is asked for) pass through
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,129 +36,163 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrowtext import mix64, run_hashes, slices, span_hashes, utf8, words
-from textloom.llm.words import SPACES
 from textloom.scratch import materialize
 
-#: A boundary falls after a line when these low bits of the rolling hash are zero: every second line.
-BOUNDARY_BITS = 1
-WINDOW = 2
-MAX_LINES = 16
-LONG_WORDS = 50
+#: A chunk with this part of all places or more is joined by broadcast.
+HOT = 1000
+CELL_BITS = 27
+_END = np.zeros(256, bool)
+_END[list(b".!?")] = True
 _SALT = np.uint64(0x452821E638D01377)
 
 
-def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, start byte, end byte, lines, hash, second hash) of all chunks that may be removed.
+def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start byte, end byte, hash) of each line with words, from its first word's start to its last word's end."""
+    starts, ends, first = words(data, off)
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), starts, ends, np.zeros(0, np.uint64)
+    row = np.searchsorted(first, np.arange(n), side="right") - 1
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    last = np.ones(n, bool)
+    last[:-1] = (row[1:] != row[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])
+    last |= _END[data[ends - 1]]
+    to = np.flatnonzero(last)
+    at = np.concatenate([[0], to[:-1] + 1])
+    return row[at], starts[at], ends[to], span_hashes(data, starts[at], ends[to])
+
+
+def boundaries(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Does a boundary stand before each line? One stands before every text."""
+    n = len(row)
+    inner = np.zeros(n, bool)
+    inner[1:] = row[1:] == row[:-1]
+    before = np.concatenate([[np.uint64(0)], line[:-1]]) if n else line
+    rolling = mix64(mix64(before + _SALT) + line)
+    peak = np.zeros(n, bool)
+    # a text's first line has no rolling hash: the place after it counts as greater than its missing neighbour
+    peak[1:] = ~inner[:-1] | (rolling[1:] > rolling[:-1])
+    peak[:-1] &= ~inner[1:] | (rolling[:-1] >= rolling[1:])
+    return ~(inner & peak)
 
-    Bytes run from the first line's start to the start of the next line with words (or the text's end).
-    """
+
+def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, start byte, byte after the last word, start byte of what follows, lines, hash) of all chunks."""
     data, off = utf8(column)
-    feed = np.flatnonzero(data == 10)
-    ends = np.unique(np.concatenate([feed + 1, off[1:]]))
-    ends = ends[ends > 0]
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    word_starts, word_ends, _ = words(data, off)
-    upto_word = np.searchsorted(word_starts, ends)
-    n_words = upto_word - np.searchsorted(word_starts, starts)
-    starts, upto_word, n_words = starts[n_words > 0], upto_word[n_words > 0], n_words[n_words > 0]
-    row = np.searchsorted(off, starts, side="right") - 1
-    inner = word_ends[upto_word - 1]
-    same = row[1:] == row[:-1]
-    ends = off[row + 1]
-    ends[:-1] = np.where(same, starts[1:], ends[:-1])
-    n, line, long = len(row), span_hashes(data, starts, inner), n_words >= LONG_WORDS
-    rolling = line.copy()
-    for k in range(1, WINDOW):
-        before = np.zeros(n, np.uint64)
-        if n > k:
-            before[k:] = np.where(row[k:] == row[:-k], line[:-k], np.uint64(0))
-        rolling = mix64(rolling + before * np.uint64(2 * k + 1))
-    cut_after = long | ((rolling & np.uint64((1 << BOUNDARY_BITS) - 1)) == 0)
-    first = long.copy()
-    first[:1] = True
-    first[1:] |= ~same | cut_after[:-1]
-    # no chunk is longer than MAX_LINES
-    at = np.flatnonzero(first)
-    first |= (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % MAX_LINES == 0
-    at = np.flatnonzero(first)
-    upto = np.append(at[1:], n)[: len(at)]
-    keep = (upto - at > 2) | long[at]  # chunks of two lines are pairs
-    pair = np.flatnonzero(same & ~long[1:] & ~long[:-1])
-    at, upto = np.concatenate([at[keep], pair]), np.concatenate([upto[keep], pair + 2])
-    a, b, base = starts[at], ends[upto - 1], off[row[at]]
-    h1, h2 = span_hashes(data, a, inner[upto - 1]), run_hashes(mix64(line + _SALT), at, upto)
-    return row[at], a - base, b - base, upto - at, h1.view(np.int64), h2.view(np.int64)
+    row, start, end, line = lines(data, off)
+    n = len(row)
+    stands = boundaries(row, line)
+    close = np.append(stands, True)
+    stands[:-1] |= np.append(row[:-2] != row[2:], True) if n > 1 else False  # the last two lines
+    at = np.flatnonzero(stands)
+    stop = np.searchsorted(row, row[at], side="right")
+    ends = np.flatnonzero(close)
+    upto = np.minimum(ends[np.searchsorted(ends, np.minimum(at + 2, n))], stop)
+    keep = upto - at > 1
+    at, upto, stop = at[keep], upto[keep], stop[keep]
+    base, row = off[row[at]], row[at]
+    follows = np.where(upto < stop, np.append(start, 0)[upto], off[row + 1])
+    hashes = run_hashes(mix64(line + _SALT), at, upto)
+    return row, start[at] - base, end[upto - 1] - base, follows - base, upto - at, hashes.view(np.int64)
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [doc_id.cast("long").alias("__id"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2")]
+    return [doc_id.cast("long").alias("__id"), F.xxhash64(doc_id.cast("long"), text).alias("__t")]
 
 
-_PLACE = "__id long, __t1 long, __t2 long, first long, upto long, c1 long, c2 long"
+_PLACE = "__id long, __t long, first int, upto int, c long"
 
 
 def chunk_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(document's key, place, hash) of every chunk."""
     names = [x.split()[0] for x in _PLACE.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, a, b, _, h1, h2 = chunks(batch.column(3))
+            row, a, _, b, _, h = chunks(batch.column(2))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], *[pa.array(x.astype(np.int64)) for x in (a, b, h1, h2)]], names=names)
+            places = [pa.array(x.astype(np.int32)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *places, pa.array(h)], names=names)
 
     named = docs.where(F.col(text).isNotNull()).select(*_key(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
     return named.mapInArrow(work, _PLACE)
 
 
-def _owner(place: Column | str = "first") -> Column:
-    return F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col(place).alias("first")))
+def chunk_bytes(docs: DataFrame, cells: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(document's key, place, hash, bytes) of the chunks whose cell is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+    shift, names = 64 - (len(cells).bit_length() - 1), [x.split()[0] for x in _PLACE.split(", ")] + ["bytes"]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in slices(batches):
+            row, a, e, b, _, h = chunks(batch.column(2))
+            cell = (h.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+            keep = np.flatnonzero((wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+            data, off = utf8(batch.column(2))
+            raw, base = data.tobytes(), off[row[keep]]
+            found = [raw[x:y] for x, y in zip((base + a[keep]).tolist(), (base + e[keep]).tolist())]
+            at = pa.array(row[keep])
+            places = [pa.array(x[keep].astype(np.int32)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *places, pa.array(h[keep]), pa.array(found, pa.binary())], names=names)
 
-def _flag(places: DataFrame, by: list[str]) -> DataFrame:
-    """Places of chunks found more than once, with ``drop``: is it not the first."""
-    owned = places.groupBy(*by).agg(F.count("*").alias("__n"), _owner().alias("o")).where("__n > 1").drop("__n")
-    o = owned.select(*[F.col(c).alias(f"__{c}") for c in by], "o")
-    met = places.join(o, [F.col(c) == F.col(f"__{c}") for c in by])
-    own = F.col("o.id").eqNullSafe(F.col("__id")) & (F.col("o.t1") == F.col("__t1")) & (F.col("o.t2") == F.col("__t2")) & (F.col("o.first") == F.col("first"))
-    return met.select("__id", "__t1", "__t2", "first", "upto", "c1", "c2", (~own).alias("drop"))
+    named = docs.where(F.col(text).isNotNull()).select(*_key(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
+    return named.mapInArrow(work, _PLACE + ", bytes binary")
 
 
-def _per_document(flagged: DataFrame, *names: str) -> DataFrame:
-    """(three key columns, spots) as ``names``: each document's places in order."""
-    spots = F.sort_array(F.collect_list(F.struct("first", "upto", "c1", "c2", "drop")))
-    return flagged.groupBy("__id", "__t1", "__t2").agg(spots.alias("spots")).toDF(*names)
+def _cells(hashes: DataFrame, n: int) -> np.ndarray:
+    """Which of at most ``2 ** CELL_BITS`` cells, 64 to a row, hold one of the ``n`` hashes."""
+    bits = min(max((16 * n).bit_length(), 10), CELL_BITS)
+    cell = hashes.select(F.shiftrightunsigned("c", 64 - bits).alias("cell"))
+    rows = cell.select(F.shiftright("cell", 6).alias("place"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit"))
+    table = rows.groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table.column("place").to_numpy()] = table.column("bits").to_numpy()
+    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little")
 
 
-def _cut(raw: Column, ranges: Column) -> Column:
-    """The text without the byte ranges, sorted by their starts, and without the line feeds that a cut leaves at its end.
+def _owners(places: DataFrame, by: str) -> DataFrame:
+    """(key, number of places, first place) of the chunks that are found more than once."""
+    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__t").alias("t"), F.col("first").alias("at")))
+    return materialize(places.groupBy(by).agg(F.count("*").alias("__n"), first.alias("o")).where("__n > 1").withColumnRenamed(by, "__by"), "owners")
 
-    Ranges overlap only within MAX_LINES lines, each of which starts at most three.
-    """
-    near = 3 * MAX_LINES
-    done = F.transform(ranges, lambda r, i: F.array_max(F.transform(F.slice(ranges, F.greatest(i + 2 - near, F.lit(1)), F.least(i + 1, F.lit(near))), lambda x: x["upto"])))
-    ends = F.concat(F.transform(ranges, lambda r: r["first"]), F.array(F.octet_length(raw).cast("long")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), done)
-    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).cast("string")
-    return F.regexp_replace(F.array_join(F.zip_with(starts, ends, piece), ""), r"\n+\z", "")
+
+def _later_places(places: DataFrame, by: str, owners: DataFrame, total: int) -> DataFrame:
+    """(document's key, first, upto) of all places of repeated chunks but each chunk's first one."""
+    hot = F.broadcast(owners.where(F.col("__n") * HOT >= total).drop("__n"))  # at most HOT rows
+    cold = owners.where(F.col("__n") * HOT < total).drop("__n")
+    same = F.col(by) == F.col("__by")
+    met = places.join(hot, same).unionByName(places.join(hot.select("__by"), same, "left_anti").join(cold, same))
+    own = F.col("o.id").eqNullSafe(F.col("__id")) & (F.col("o.t") == F.col("__t")) & (F.col("o.at") == F.col("first"))
+    return met.where(~own).select("__id", "__t", "first", "upto")
+
+
+def _cut(raw: Column, ranges: Column) -> Column:
+    """The text without the byte ranges, sorted by starts and so by ends, and without the white space that a cut leaves at its end."""
+    ends = F.concat(F.transform(ranges, lambda r: r["first"]), F.array(F.octet_length(raw)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(ranges, lambda r: r["upto"]))
+    piece = lambda a, b: F.substring(raw, a + 1, F.greatest(b - a, F.lit(0))).cast("string")
+    return F.regexp_replace(F.array_join(F.zip_with(starts, ends, piece), ""), r"[\x20\x09-\x0D]+\z", "")
 
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, cleaned, chunks_removed, bytes_removed): ``row`` is the whole input row as a struct."""
     places = materialize(chunk_table(docs, doc_id, text), "chunks")
-    repeated = places.groupBy("c1", "c2").agg(F.count("*").alias("__n")).where("__n > 1").select("c1", "c2")
-    places = materialize(places.join(repeated, ["c1", "c2"], "left_semi").distinct(), "repeated")
-    flagged = materialize(_flag(places, ["c1", "c2"]), "flagged")
+    owners, total = _owners(places, "c"), places.count()
+    bytes_of = chunk_bytes(docs, _cells(owners.select(F.col("__by").alias("c")), owners.count()), doc_id, text)
+    collided = bytes_of.groupBy("c").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).where("x <> y").select(F.col("c").alias("__c"))
+    collided = materialize(collided, "collided")
+    if collided.isEmpty():
+        later = _later_places(places, "c", owners, total)
+    else:
+        meets = F.col("c") == F.col("__c")
+        later = _later_places(places.join(collided, meets, "left_anti"), "c", owners, total)
+        apart = materialize(bytes_of.join(collided, meets, "left_semi"), "apart")
+        later = later.union(_later_places(apart, "bytes", _owners(apart, "bytes"), total))
+    spots = later.groupBy(F.col("__id").alias("s0"), F.col("__t").alias("s1")).agg(F.sort_array(F.collect_set(F.struct("first", "upto"))).alias("ranges"))
+    spots = materialize(spots, "ranges")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col(doc_id), F.col(text)))
-    spots = _per_document(flagged, "s0", "s1", "s2", "spots").withColumn("ranges", F.filter("spots", lambda s: s["drop"]))
-    joined = row.join(spots, F.col("__id").eqNullSafe(F.col("s0")) & (F.col("__t1") == F.col("s1")) & (F.col("__t2") == F.col("s2")), "left").drop("s0", "s1", "s2")
-    joined = materialize(joined, "lines").withColumn("text", F.col("row").getField(text))
-    bytes_of = F.rtrim(F.substring(F.col("text").cast("binary"), (F.col("s.first") + 1).cast("int"), (F.col("s.upto") - F.col("s.first")).cast("int")).cast("string"), F.lit(" " + SPACES))
-    found = joined.where("spots is not null").select("text", "__id", "__t1", "__t2", F.explode("spots").alias("s")).select("__id", "__t1", "__t2", "s.*", bytes_of.alias("bytes"))
-    collided = materialize(found.groupBy("c1", "c2").agg(F.min("bytes").alias("x"), F.max("bytes").alias("y")).where("x <> y").select("c1", "c2"), "collided")
-    if not collided.isEmpty():
-        by_bytes = _flag(found.join(collided, ["c1", "c2"], "left_semi").drop("drop").distinct(), ["bytes"]).union(flagged.join(collided, ["c1", "c2"], "left_anti").select(flagged.columns))
-        again = _per_document(by_bytes.where("drop"), "a0", "a1", "a2", "ranges")
-        joined = joined.drop("ranges").join(again, F.col("__id").eqNullSafe(F.col("a0")) & (F.col("__t1") == F.col("a1")) & (F.col("__t2") == F.col("a2")), "left")
+    joined = row.join(spots, F.col("__id").eqNullSafe(F.col("s0")) & (F.col("__t") == F.col("s1")), "left").withColumn("text", F.col("row").getField(text))
     n = F.coalesce(F.when(F.col("ranges").isNotNull(), F.size("ranges")), F.lit(0)).cast("long")
     done = joined.select("row", "text", F.when(n == 0, F.col("text")).otherwise(_cut(F.col("text").cast("binary"), F.col("ranges"))).alias("cleaned"), n.alias("chunks_removed"))
     return done.select("row", "cleaned", "chunks_removed", F.coalesce(F.octet_length("text") - F.octet_length("cleaned"), F.lit(0)).cast("long").alias("bytes_removed"))
