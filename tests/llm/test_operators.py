@@ -359,7 +359,7 @@ def test_packing(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    hard = [*texts, "a  b   c", "tab\tand \n line", " lead", "trail ", "don't 12,5 x…y", "big " * 4000]
+    hard = [*texts, "a  b   c", "tab\tand \n line", " lead", "trail ", "don't 12,5 x…y", "big " * 4000, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny <|endoftext|><|endoftext|>  z", "nul \0 byte", "end\x85 of\u3000line"]
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = [[*x.ids, 0] for x in model.encode_batch([t or "" for t in hard], add_special_tokens=False)]
     rows = packing.pack_documents(table(spark, hard)).collect()
@@ -383,6 +383,29 @@ def test_packing(spark, texts):
         assert at <= 1024
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """Cutting at spaces, with a cache that is warm or full, gives what the library gives for whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, model = random.Random(12), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [" ", " ", " ", "\n", "\t", "  ", "word", "Straße", "'s", "don't", "12", "...", "<|endoftext|>", "<|endof", "é", "\u0301", "中文", "🙂", "\xa0", "\u200b", "\ufeff", "\u180e", "\x1c", "_", "a1b2"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(4000)]
+    encode = packing.encoder()
+    for t, x in zip(texts, model.encode_batch(texts, add_special_tokens=False)):
+        assert encode(t) == encode(t) == np.array(x.ids, "<u4").tobytes(), t
+
+
+def test_ids_of_rare_characters():
+    """Both libraries read every 7th code point alike beside letters, digits, marks and spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode, model = packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}." for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    assert all(encode(t) == np.array(x.ids, "<u4").tobytes() for t, x in zip(texts, model.encode_batch(texts, add_special_tokens=False)))
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(60):
