@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textloom.llm import language_id, line_dedup, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, url_filter
+from textloom.llm import language_id, line_dedup, media, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, sharding, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string"
@@ -53,10 +53,56 @@ def test_quality_rules(spark, texts):
     assert quality_rules.measures(table(spark, texts).limit(0)).count() == 0
 
 
+def hosts():
+    """(doc_id, text, source): a host whose documents are full of symbols, one of repeated lines, one of few words, clean ones, small ones and none."""
+    rng = random.Random(6)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    kinds = {
+        "symbols.com": lambda i: prose() + (" $$$$ ####" if i % 10 < 8 else ""),
+        "lines.com": lambda i: "\n".join([prose()] + ["menu home", "about us"] * (3 if i % 10 < 7 else 1)),
+        "short.com": lambda i: "too few" if i % 3 else prose(),
+        "small.com": lambda i: prose() + " $$$$ ####" if i == 0 else prose(),
+        "clean.com": lambda i: prose() + (" $$$$ ####" if i % 10 == 0 else ""),
+        None: lambda i: prose() + " $$$$ ####",
+    }
+    rows = [(text(i), host) for host, text in kinds.items() for i in range(1 if host == "small.com" else 40)]
+    rows += [(prose(), f"other{i % 12}.com") for i in range(60)] + [(None, "clean.com"), ("", None)]
+    return [(i, t, s) for i, (t, s) in enumerate(rows)]
+
+
+def test_host_verdicts_flip_documents(spark, tmp_path):
+    """Documents that pass their own rules go with their host, rule by rule; one bad document of a small host does not; the SQL agrees."""
+    import duckdb
+
+    rows = hosts()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    flipped = defaultdict(int)
+    for i, _, s in rows:
+        flipped[s] += not got[i].base_failed and not got[i].kept
+    passing = {s: sum(not got[i].base_failed for i, _, x in rows if x == s) for s in flipped}
+    for s in ("symbols.com", "lines.com", "short.com"):
+        assert flipped.pop(s) == passing[s] > 10
+    assert set(flipped.values()) == {0} and passing["small.com"] == 1
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.sql(queries.OP1_SQL)
+        for row in want.fetchall():
+            for name, x in zip(want.columns, row):
+                assert got[row[0]][name] == (pytest.approx(x) if isinstance(x, float) else x), (row[0], name)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in quality_rules.keep_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_host_rates_shrink(spark):
     rows = [("good", False)] * 50 + [("bad", True)] * 50 + [("new", True)]
-    rates = {r.host: r.rate for r in quality_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
-    assert rates["good"] < 0.1 and rates["bad"] > 0.9 and rates["new"] < 1
+    found = quality_rules.host_rates(spark.createDataFrame(rows, "host string, failed boolean"), rules=(("r", "failed", 0.5),)).collect()
+    n, k = {"good": 50, "bad": 50, "new": 1}, {"good": 0, "bad": 50, "new": 1}
+    m = sum(k[h] / n[h] for h in n) / 3
+    v = sum((k[h] / n[h] - m) ** 2 for h in n) / 3
+    c = min(max(m * (1 - m) / v - 1, 2), 1e6)
+    assert {r.host: (r.n, r.r_failures) for r in found} == {h: (n[h], k[h]) for h in n}
+    assert {r.host: r.r_rate for r in found} == {h: pytest.approx((k[h] + m * c) / (n[h] + c)) for h in n}
 
 
 def brute_components(texts, n, num):

@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measures(_table(spark, sf_dir, "documents")).drop("host", "host_rate")
+    scored = quality_rules.measures(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,20 +78,24 @@ g AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >=
 k AS (SELECT rid, i, array_to_string(ws[i:i+4], ' ') AS gram FROM g),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM k) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
-l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+l AS (SELECT rid, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]') GROUP BY rid),
 b AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \t\n\x0b\f\r]', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
-        coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+        coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(l.lines, 0)::BIGINT AS n_lines
       FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN l USING (rid)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-c AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM p),
-r AS (SELECT source, (k + m * s) / (n + s) AS rate FROM h, c)
+q AS (SELECT source, unnest([{'rule': 'few_words', 'bad': n_words < 10}, {'rule': 'repeats', 'bad': 100 * n_repeat_words > 20 * n_words},
+        {'rule': 'symbols', 'bad': 10 * n_symbols > n_words}, {'rule': 'lines', 'bad': 10 * n_dup_lines > 3 * n_lines}]) AS x FROM f WHERE source IS NOT NULL),
+h AS (SELECT source, x.rule AS rule, count(*) AS n, sum(x.bad::INT) AS k FROM q GROUP BY source, rule),
+p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY rule),
+c AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1e6) ELSE 1e6 END AS s FROM p),
+r AS (SELECT source, rule, (k + m * s) / (n + s) AS rate FROM h JOIN c USING (rule)),
+e AS (SELECT source, max(rate) FILTER (WHERE rule = 'few_words') AS few_words_rate, max(rate) FILTER (WHERE rule = 'repeats') AS repeats_rate,
+        max(rate) FILTER (WHERE rule = 'symbols') AS symbols_rate, max(rate) FILTER (WHERE rule = 'lines') AS lines_rate FROM r GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(r.rate, 0) > 0.5 AS kept
-FROM f LEFT JOIN r USING (source)
+       NOT base_failed AND NOT coalesce(greatest(few_words_rate, repeats_rate, symbols_rate, lines_rate) > 0.5, false) AS kept, n_lines
+FROM f LEFT JOIN e USING (source)
 """
 
 OP4_SQL = r"""
