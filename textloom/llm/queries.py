@@ -114,14 +114,52 @@ y AS (SELECT d.doc_id, d.size, x.source_size, x.target, CASE WHEN x.source_size
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM y
 """
 
-OP8_SQL = r"""
-WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r(rhost, rpath, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-      FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
+def _after_scheme(u: str) -> str:
+    return f"CASE WHEN instr(coalesce({u}, ''), '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
+
+
+def _host(u: str) -> str:
+    return f"translate(regexp_extract({_after_scheme(u)}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(u: str) -> str:
+    return f"regexp_extract({_after_scheme(u)}, '^[^/?#]*([^?#]*)', 1)"
+
+
+_RULED = """CASE WHEN {h} = 'example.net' AND starts_with({p}, '/en/') OR ends_with({h}, '.example.net') AND starts_with({p}, '/en/') THEN 'example.net/en/'
+ WHEN ({h} = 'example.com' OR ends_with({h}, '.example.com')) AND starts_with({p}, '/de/') THEN 'example.com/de/'
+ WHEN ({h} = 'org' OR ends_with({h}, '.org')) AND starts_with({p}, '/fr/') THEN 'org/fr/'
+ WHEN ({h} = 'net' OR ends_with({h}, '.net')) AND starts_with({p}, '/') THEN 'net/' END"""
+_VERDICT = "CASE WHEN {r} IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN {r} IS NOT NULL THEN 'block' END"
+
+# decodes the references &amp; &lt; &gt; &quot; only; the operator decodes all
+OP8_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {_host('url')} AS host, {_path('url')} AS path FROM pages),
+c AS (SELECT page_id, url, host, path, {_RULED.format(h='host', p='path')} AS rule FROM p),
+tags AS (SELECT url, host, path, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*')) AS tag FROM p WHERE url IS NOT NULL),
+named AS (SELECT url, host, path, scheme, CASE
+    WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag || ' ', '(?i)\brel\s*=\s*("([^">]*\s)?canonical[\s"]|''([^''>]*\s)?canonical[\s'']|canonical[\s>/])')
+      THEN regexp_extract(tag, '(?is)^.*\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
+      THEN regexp_extract(tag, '(?is)^.*\burl\s*=\s*["'']?([^"''>\s]+)', 1) ELSE '' END AS raw FROM tags),
+target AS (SELECT url, host, path, scheme, replace(replace(replace(replace(raw, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM named WHERE raw <> ''),
+whole AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t WHEN starts_with(t, '#') THEN url
+    WHEN starts_with(t, '?') THEN scheme || '://' || host || path || t
+    ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS t FROM target),
+urls AS (SELECT url AS u FROM p WHERE url IS NOT NULL UNION SELECT t FROM whole WHERE t IS NOT NULL),
+parts AS (SELECT u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {_host('u')} AS site, {_host('u')} AS host, {_path('u')} AS path,
+    regexp_extract(u, '^[^?#]*(\?[^#]*)?', 1) AS query FROM urls),
+dots AS (SELECT *, list_reduce(list_transform(string_split(path, '/')[2:], lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[:-2] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END, []::VARCHAR[]) AS kept FROM parts),
+nodes AS (SELECT u, host, site || CASE WHEN regexp_matches(path, '/\.\.?(/|$)') THEN '/' || array_to_string(CASE WHEN regexp_matches(path, '/\.\.?$') THEN list_append(kept, '') ELSE kept END, '/') ELSE path END || query AS node FROM dots WHERE host <> ''),
+edges AS (SELECT DISTINCT x.node AS a, y.node AS b FROM whole w JOIN nodes x ON x.u = w.url JOIN nodes y ON y.u = w.t WHERE x.node <> y.node),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+ends AS (SELECT DISTINCT a AS node, {_host('a')} AS host, {_path('a')} AS path FROM both_ways),
+ruled AS (SELECT node, {_RULED.format(h='host', p='path')} AS rule FROM ends),
+reach AS (SELECT node, {_VERDICT.format(r='rule')} AS verdict FROM ruled WHERE rule IS NOT NULL UNION SELECT e.b, r.verdict FROM reach r JOIN both_ways e ON e.a = r.node),
+shared AS (SELECT node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach GROUP BY node)
+SELECT c.page_id, c.host, c.path, c.rule, coalesce({_VERDICT.format(r='c.rule')}, s.verdict, 'allow') AS verdict
+FROM c LEFT JOIN nodes n ON n.u = c.url LEFT JOIN shared s ON s.node = n.node
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_mixing": OP4_SQL, "op8_url_filters": OP8_SQL}

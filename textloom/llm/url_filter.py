@@ -26,7 +26,9 @@ from textloom.scratch import materialize
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LINK = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)"
+#: ``rel`` holds canonical among its words, quoted or not.
+_CANONICAL = r"\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?![^\s>/]))"
+_LINK = rf"(?i)<link\b(?=[^>]*{_CANONICAL})[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)"
 _REFRESH = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*['\"]?([^\"'>\s]+)"
 
 
