@@ -30,6 +30,8 @@ from textloom.llm.arrowtext import slices
 WIDTH = 64
 TILE = (8, 9)
 BAND = 4096
+#: Sides beyond this are taken as broken headers.
+MAX_SIDE = 1 << 30
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
 
 
@@ -55,7 +57,14 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode(raw: bytes) -> np.ndarray:
-    """height x width (grey) or height x width x 3. Raises ValueError for what it can't read."""
+    """height x width (grey) or height x width x 3. Raises ValueError for what it can't read, such as an image without pixels."""
+    try:
+        return _decode(raw)
+    except (struct.error, OverflowError, IndexError) as broken:
+        raise ValueError("broken header") from broken
+
+
+def _decode(raw: bytes) -> np.ndarray:
     if raw[:2] == b"BM":
         return _decode_bmp(raw)
     if len(raw) > 2 and raw[:1] == b"P" and raw[1:2] in b"123456":
@@ -80,11 +89,16 @@ def _decode_netpbm(raw: bytes) -> np.ndarray:
         numbers.append(int(raw[at:end]))
         at = end
     width, height, top = numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1
+    if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE or not 0 < top < 65536:
+        raise ValueError("no such size or depth")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     n = int(np.prod(shape))
     if kind < 4:
         body = b"\n".join(x.split(b"#")[0] for x in raw[at:].split(b"\n"))
-        values = np.array(body.split(), dtype=np.int64) if kind > 1 else np.array([c - 48 for c in body if c in b"01"], np.int64)
+        values = np.array(body.split(), np.float64) if kind > 1 else np.array([c - 48 for c in body if c in b"01"], np.float64)
+        if not ((values >= 0) & (values <= top)).all():
+            raise ValueError("a sample beyond the depth")
+        values = values.astype(np.int64)
     elif kind == 4:
         stride = (width + 7) // 8
         bits = np.unpackbits(np.frombuffer(raw, np.uint8, stride * height, at + 1)).reshape(height, stride * 8)
@@ -106,12 +120,16 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
     if packed or bits not in (8, 24):
         raise ValueError("only uncompressed 8- and 24-bit BMP")
     rows, stride = abs(height), (bits // 8 * width + 3) // 4 * 4
+    if not 0 < width <= MAX_SIDE or not 0 < rows <= MAX_SIDE:
+        raise ValueError("no such size")
     if len(raw) < start + rows * stride:
         raise ValueError("cut short")
     body = np.frombuffer(raw, np.uint8, rows * stride, start).reshape(rows, stride)
     body = body if height < 0 else body[::-1]
     if bits == 8:
-        palette = np.frombuffer(raw, np.uint8, (start - 14 - header) // 4 * 4, 14 + header).reshape(-1, 4)
+        palette = np.frombuffer(raw, np.uint8, max(start - 14 - header, 0) // 4 * 4, 14 + header).reshape(-1, 4)
+        if body[:, :width].max() >= len(palette):
+            raise ValueError("a pixel beyond the palette")
         return palette[body[:, :width]][:, :, 2::-1]
     return body[:, : 3 * width].reshape(rows, width, 3)[:, :, ::-1]
 
@@ -207,9 +225,9 @@ def decode_column(df: DataFrame, content: str, key: str, height: int = TILE[0],
                     pixels = decode(raw.as_py() or b"")
                     small = area_resize(pixels if pixels.ndim == 2 else pixels.astype(np.int64).sum(axis=2) // 3, height, width)
                     out.append((pixels.shape[0], pixels.shape[1], difference_hash(small), tile(small)))
-                except (ValueError, struct.error, ZeroDivisionError):
+                except ValueError:
                     out.append((None, None, None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["key", "rows", "columns", "feature", "tile"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["key", "rows", "columns", "feature", "tile"])
 
     named = df.select(F.col(key).alias("key"), F.col(content).alias("content"))
     return named.mapInArrow(work, f"key {named.schema['key'].dataType.simpleString()}, rows long, columns long, feature string, tile binary")

@@ -37,7 +37,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_table(spark, sf_dir, "documents")).drop("tile")
+    return media.text_media(_table(spark, sf_dir, "documents")).withColumn("tile", F.hex("tile"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +162,33 @@ SELECT c.page_id, c.host, c.path, c.rule, coalesce({_VERDICT.format(r='c.rule')}
 FROM c LEFT JOIN nodes n ON n.u = c.url LEFT JOIN shared s ON s.node = n.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_mixing": OP4_SQL, "op8_url_filters": OP8_SQL}
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS grams FROM d),
+g AS (SELECT rid, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (SELECT x.rid AS a, y.rid AS b FROM g x JOIN g y ON x.gram = y.gram AND x.rid < y.rid GROUP BY x.rid, y.rid, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rid AS node, rid AS far FROM s UNION SELECT r.node, e.b FROM reach r JOIN ends e ON e.a = r.far)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(t.doc_id) AS component_id FROM reach JOIN s t ON t.rid = far GROUP BY node) c ON c.node = s.rid
+"""
+
+# CRC-32 by its table of 256 entries, made from the reversed polynomial
+OP6_SQL = """
+WITH crc AS (SELECT list(c ORDER BY i) AS entry FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda s: ('0x' || s)::UBIGINT) AS bytes,
+    list_transform(range(17), lambda i: ('0x' || substr(md5('shard-1:' || i || ':' || coalesce('=' || doc_id, '')), 1, 12))::BIGINT) AS scores FROM documents),
+k AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, x: xor(a >> 8, entry[((xor(a, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+    list_position(scores[1:16], list_max(scores[1:16]))::INT - 1 AS shard, list_position(scores, list_max(scores))::INT - 1 AS grown_shard FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op6_sharding": OP6_SQL,
+    "op8_url_filters": OP8_SQL,
+}
