@@ -19,10 +19,12 @@ _written: list[tuple[SparkSession, str] | None] = []
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one of our own only where the session names none (tests)."""
+    """The shared folder; one of our own only in local mode where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
     mine = os.path.join(tempfile.gettempdir(), "checkpoints")
     os.makedirs(mine, exist_ok=True)
     return mine
