@@ -14,19 +14,26 @@ from textloom import scratch
 from textloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 
 
-#: Marks around the intermediate tables of the stage called last.
-_spent = [0, 0]
+#: Marks in ``scratch`` around the intermediate tables of stages whose results are still to be written, by session, tables and stage.
+_pending: dict[tuple[str, str, int], list[tuple[int, int]]] = {}
 
 
 def stage(function):
-    """Deletes what the stage before it kept in the shared folder: its result has been written by now."""
+    """A stage. Once the next one of the same session and tables is called with its written result, its intermediate tables go.
+
+    They stay where the stage was called more than once before that: nothing shows then which result is meant.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release_between(*_spent)
-        _spent[0] = scratch.written()
+        place = [f for _, f in STAGES].index(run_stage)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        before = _pending.pop((*key, place - 1), [])
+        if len(before) == 1:
+            scratch.release_between(*before[0])
+        start = scratch.written()
         out = function(spark, docs, sf_dir)
-        _spent[1] = scratch.written()
+        _pending.setdefault((*key, place), []).append((start, scratch.written()))
         return out
 
     return run_stage
@@ -67,5 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
-        docs = scratch.materialize(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = scratch.materialize(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.release(docs)  # the tables of sf_dir are not of this folder and stay
+        docs = done
     return docs
