@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.arrowtext import mix64, run_hashes, slices, span_hashes, utf8, words
-from textloom.scratch import materialize
+from textloom.llm.arrowtext import mix64, slices, span_hashes, utf8, words
+from textloom.scratch import materialize, release
 
 #: A chunk with this part of all places or more is joined by broadcast.
 HOT = 1000
@@ -92,7 +92,7 @@ def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
     at, upto, stop = at[keep], upto[keep], stop[keep]
     base, row = off[row[at]], row[at]
     follows = np.where(upto < stop, np.append(start, 0)[upto], off[row + 1])
-    hashes = run_hashes(mix64(line + _SALT), at, upto)
+    hashes = span_hashes(data, start[at], end[upto - 1])
     return row, start[at] - base, end[upto - 1] - base, follows - base, upto - at, hashes.view(np.int64)
 
 
@@ -191,6 +191,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         later = later.union(_later_places(apart, "bytes", _owners(apart, "bytes"), total))
     spots = later.groupBy(F.col("__id").alias("s0"), F.col("__t").alias("s1")).agg(F.sort_array(F.collect_set(F.struct("first", "upto"))).alias("ranges"))
     spots = materialize(spots, "ranges")
+    release(places, owners, collided)  # nothing below reads them
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col(doc_id), F.col(text)))
     joined = row.join(spots, F.col("__id").eqNullSafe(F.col("s0")) & (F.col("__t") == F.col("s1")), "left").withColumn("text", F.col("row").getField(text))
     n = F.coalesce(F.when(F.col("ranges").isNotNull(), F.size("ranges")), F.lit(0)).cast("long")
