@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.arrowtext import distinct_shingles, long_lists, mix64, slices
 from textloom.operators.components import connected_components
-from textloom.scratch import materialize
+from textloom.scratch import materialize, release
 
 BUCKET_BITS = 18
 BITMAP_BITS = 23
@@ -221,7 +221,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
         pairs = _near(pairs, classes, num, den)
         ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         sets = _sets_of(named, classes.join(ends, "cid", "left_semi").select("fp1", "fp2", "cid"), n)
-        return materialize(_verify(pairs, sets, num, den), "links")
+        links = materialize(_verify(pairs, sets, num, den), "links")
+        release(pairs, sets)
+        return links
 
     filters = _may_link("a", "b", num, den)
     star = met.where("pivot").alias("a").join(met.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") != F.col("b.cid")) & filters)
@@ -232,7 +234,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     more = verified(rest)
     labels = connected_components(links.union(more))
     named_classes = classes.select("fp1", "fp2", "cid", "min_doc").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    return rows, materialize(named_classes.withColumn("component", F.coalesce("component", "cid")), "classes")
+    named_classes = materialize(named_classes.withColumn("component", F.coalesce("component", "cid")), "classes")
+    release(classes, met, tried, rest, links, more)  # nothing below reads them
+    return rows, named_classes
 
 
 def _across(met: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
