@@ -45,3 +45,10 @@ def test_rename_plan_and_save(spark, tmp_path):
     for _ in range(2):
         sinks.save(files, str(tmp_path), "modules")
     assert spark.read.parquet(f"{tmp_path}/modules").count() == 3
+
+
+def test_author_words(spark):
+    from textloom.plans import source_plans
+
+    words = {r.author: r.words for r in P.author_sources(source_plans.source_files(spark)).collect()}
+    assert set(words) == {"ann", "bob"} and "cache" in words["ann"] and "shape" in words["bob"] and all(len(w) <= 50 for w in words.values())

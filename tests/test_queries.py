@@ -13,7 +13,7 @@ def rounded(rows):
     return sorted(str([round(x, 6) + 0.0 if isinstance(x, float) else str(x) for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["wordlist_lemma", "vocab_profile", "ngrams_2", "collocations", "keyness_vs_rest", "conditional_entropy", "semantic_density", "role_sequences", "clone_candidates", "levenshtein_names", "content_language"])
+@pytest.mark.parametrize("name", ["wordlist_lemma", "vocab_profile", "ngrams_2", "collocations", "keyness_vs_rest", "conditional_entropy", "semantic_density", "role_sequences", "clone_candidates", "levenshtein_names", "content_language", "author_profile", "concordance_tagged", "jaccard_files", "source_functions", "source_classes", "source_modules", "source_lines", "source_authors"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -44,3 +44,21 @@ def test_numbering(spark):
         mine = sorted(r.n for r in rows if r.g == g)
         assert mine == list(range(len(mine)))
     assert number_rows(df.limit(0), ["v"], ["g"]).count() == 0
+
+
+def test_views(spark):
+    from textloom.sources import corpus as C
+
+    assert {"documents", "nation", "files", "lines", "tokens"} <= set(C.register_views(spark, SF))
+    by_sql = spark.sql("SELECT lemma, count(*) AS freq FROM tokens WHERE NOT is_stop GROUP BY lemma")
+    assert rounded(by_sql.collect()) == rounded(entry.queries()["wordlist_lemma"](spark, SF).select("lemma", "freq").collect())
+
+
+def test_cooccurrence_without_broadcast(spark, monkeypatch):
+    from textloom.operators import graph as G
+    from textloom.sources import corpus as C
+
+    files = C.document_files(spark, SF)
+    want = rounded(G.cooccurrence(files).collect())
+    monkeypatch.setattr(C, "BROADCAST_FORMS", 0)
+    assert rounded(G.cooccurrence(files).collect()) == want

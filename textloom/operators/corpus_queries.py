@@ -60,14 +60,20 @@ def vocabulary_profile(files: DataFrame) -> DataFrame:
     ).select("*", F.try_divide("unique_lemmas", "total_tokens").alias("type_token_ratio"), F.try_divide("hapax", "unique_lemmas").alias("hapax_ratio"))
 
 
-def concordance(files: DataFrame, keyword: str, context_size: int = 5) -> DataFrame:
-    """Every hit with up to ``context_size`` tokens of its line on either side; found inside the row, without a shuffle."""
+def concordance(files: DataFrame, keyword: str, context_size: int = 5, pos_filter: str | None = None, k: int | None = None) -> DataFrame:
+    """Every hit with up to ``context_size`` tokens of its line on either side; found inside the row, without a shuffle.
+
+    ``pos_filter`` keeps hits with that tag, ``k`` the first so many by file, line and place.
+    """
     at = C.lines(files).where(F.col("line_text").contains(keyword)).select("file_path", "line", A.words(F.col("line_text")).alias("w"))
     hits = at.select("file_path", "line", "w", F.posexplode("w").alias("pos_in_line", "text")).where(F.col("text") == keyword)
+    if pos_filter is not None:
+        hits = hits.where(A.tag(F.col("text")) == pos_filter)
     p = F.col("pos_in_line")
     start = F.greatest(p - context_size, F.lit(0))
     left = F.slice("w", start + 1, p - start)
-    return hits.select("file_path", "line", "pos_in_line", F.array_join(left, " ").alias("left_context"), "text", F.array_join(F.slice("w", p + 2, context_size), " ").alias("right_context"))
+    found = hits.select("file_path", "line", "pos_in_line", F.array_join(left, " ").alias("left_context"), "text", F.array_join(F.slice("w", p + 2, context_size), " ").alias("right_context"))
+    return found if k is None else found.orderBy("file_path", "line", "pos_in_line").limit(k)
 
 
 def collocations(files: DataFrame, word: str, window: int = 5, min_freq: int = 2, k: int = 50) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import annotate as A
+from textloom.operators import corpus_queries as Q
+from textloom.operators.style import frequent_by_author
 from textloom.sources import corpus as C
 
 # --- fixed values: what counts as a function or class head ---
@@ -141,3 +143,28 @@ def classes(files: DataFrame) -> DataFrame:
 def lines_of_code(files: DataFrame) -> DataFrame:
     names = ["lines_code", "lines_comment", "lines_blank"]
     return _each(files, lambda t, lang: [dict(zip(names, line_counts(t, lang)))], "lines_code int, lines_comment int, lines_blank int", names)
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """One row per file: its metrics, lines of each kind, functions with their mean and largest complexity, classes, share of comment lines.
+
+    Files without functions have complexity 0; files without tokens have no row.
+    """
+    by_file = functions(files).groupBy("file_path").agg(
+        F.count("*").alias("functions"), F.avg("cyclomatic_complexity").alias("mean_complexity"), F.max("cyclomatic_complexity").alias("max_complexity")
+    )
+    held = classes(files).groupBy("file_path").agg(F.count("*").alias("classes"))
+    found = Q.module_metrics(files).drop("lines_blank").join(lines_of_code(files).drop("language"), "file_path").join(by_file, "file_path", "left").join(held, "file_path", "left")
+    found = found.fillna(0, ["functions", "classes", "max_complexity"]).fillna(0.0, ["mean_complexity"])
+    return found.withColumn("comment_density", F.col("lines_comment") / F.greatest("lines_total", F.lit(1)))
+
+
+def author_sources(files: DataFrame) -> DataFrame:
+    """An author's files, functions and classes with mean complexity, comment density and identifier length, and the 50 most frequent lemmas."""
+    found = modules(files).join(files.select("file_path", "author"), "file_path")
+    by = found.groupBy("author").agg(
+        F.count("*").alias("files"), F.sum("functions").alias("functions"), F.sum("classes").alias("classes"),
+        F.avg("mean_complexity").alias("mean_complexity"), F.avg("comment_density").alias("comment_density"), F.avg("avg_identifier_length").alias("mean_identifier_length"),
+    )
+    words = frequent_by_author(files, 50).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("rank", "lemma"))).alias("w"))
+    return by.join(words, "author", "left").select("*", F.transform("w", lambda x: x["lemma"]).alias("words")).drop("w")

@@ -24,6 +24,7 @@ QUERIES = {
         "wordlist_text_cumulative": Q.wordlist_cumulative,
         "vocab_profile": Q.vocabulary_profile,
         "concordance": lambda f: Q.concordance(f, "inger"),
+        "concordance_tagged": lambda f: Q.concordance(f, "inger", pos_filter="NOUN", k=20),
         "collocations": lambda f: Q.collocations(f, "inger"),
         "ngrams_2": lambda f: Q.ngrams(f, 2),
         "ngrams_3": lambda f: Q.ngrams(f, 3),

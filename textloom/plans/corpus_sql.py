@@ -70,6 +70,9 @@ count(DISTINCT lemma) / sum(k) AS type_token_ratio, count(*) FILTER (WHERE k = 1
     "concordance": f"""WITH {TOKENS}, l AS (SELECT file_path, line, list(text ORDER BY pos_in_line) AS w FROM tok GROUP BY file_path, line)
 SELECT t.file_path, t.line, t.pos_in_line, coalesce(array_to_string(w[greatest(t.pos_in_line - 5, 0) + 1 : t.pos_in_line], ' '), '') AS left_context, t.text, coalesce(array_to_string(w[t.pos_in_line + 2 : t.pos_in_line + 6], ' '), '') AS right_context
 FROM tok t JOIN l USING (file_path, line) WHERE t.text = 'inger'""",
+    "concordance_tagged": f"""WITH {TOKENS}, l AS (SELECT file_path, line, list(text ORDER BY pos_in_line) AS w FROM tok GROUP BY file_path, line)
+SELECT t.file_path, t.line, t.pos_in_line, coalesce(array_to_string(w[greatest(t.pos_in_line - 5, 0) + 1 : t.pos_in_line], ' '), '') AS left_context, t.text, coalesce(array_to_string(w[t.pos_in_line + 2 : t.pos_in_line + 6], ' '), '') AS right_context
+FROM tok t JOIN l USING (file_path, line) WHERE t.text = 'inger' AND pos = 'NOUN' ORDER BY t.file_path, t.line, t.pos_in_line LIMIT 20""",
     "collocations": f"""WITH {TOKENS}, j AS (SELECT b.text, count(*) AS freq FROM raw a JOIN raw b ON a.file_path = b.file_path AND abs(a.line - b.line) <= 5 WHERE a.text = 'inger' AND b.text <> 'inger' GROUP BY b.text HAVING count(*) >= 2),
 e AS (SELECT text, count(*) AS c FROM raw GROUP BY text), n AS (SELECT sum(c)::DOUBLE AS n, sum(c) FILTER (WHERE text = 'inger') AS w FROM e)
 SELECT *, CASE WHEN pmi > 5 THEN 'strong' WHEN pmi > 3 THEN 'medium' ELSE 'weak' END AS strength FROM (SELECT j.text, lemma, freq, log2(freq * n / (w * c)) AS pmi FROM j JOIN e USING (text) JOIN forms USING (text), n) ORDER BY round(pmi, 9) DESC, text LIMIT 50""",
@@ -100,5 +103,5 @@ SELECT language, scope, count(*) AS n, sum(instr(line_text, text) - 1)::BIGINT A
     "syntagmas": f"""WITH {TOKENS}, i AS (SELECT file_path, seq, text, lemma, pos, sum((pos <> 'NOUN')::INT) OVER (PARTITION BY file_path ORDER BY seq) AS island FROM tok)
 SELECT file_path, min(seq) AS start_seq, string_agg(text, ' ' ORDER BY seq) AS text, string_agg(lemma, ' ' ORDER BY seq) AS lemmas, count(DISTINCT lemma) / count(*) AS semantic_density FROM i GROUP BY file_path, island HAVING count(*) > 1 AND arg_min(pos, seq) = 'VERB'""",
     "language_distribution": f"WITH {FILES} SELECT language, count(*) AS files FROM files GROUP BY language",
-    "content_language": "SELECT extension, count(*) AS files, count(*) / sum(count(*)) OVER () AS share FROM (SELECT CASE " + " ".join("WHEN " + f"regexp_matches(left(html, 2048), '(?im)(?:{'|'.join(p).replace(chr(39), chr(39) * 2)})')" + f" THEN '{e}'" for e, p in L.CONTENT_RULES.items()) + " ELSE '.unknown' END AS extension FROM pages) GROUP BY extension",
+    "content_language": "SELECT extension, count(*) AS files, count(*) / sum(count(*)) OVER () AS share FROM (SELECT CASE " + " ".join("WHEN " + f"regexp_matches(html, '(?im)(?:{'|'.join(p).replace(chr(39), chr(39) * 2)})')" + f" THEN '{e}'" for e, p in L.CONTENT_RULES.items()) + " ELSE '.unknown' END AS extension FROM pages) GROUP BY extension",
 }

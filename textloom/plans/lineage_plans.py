@@ -11,12 +11,10 @@ from textloom.operators import corpus_queries as Q
 from textloom.operators import graph as G
 from textloom.operators import lineage as N
 from textloom.operators import style as Y
-from textloom.plans.corpus_sql import TOKENS, WORD
+from textloom.plans.corpus_sql import ORACLE, TOKENS, WORD
 from textloom.scratch import materialize
 from textloom.sources import corpus as C
 
-#: Only the oracle's: its network SQL holds the edges of this weight and more.
-MIN_WEIGHT = 20
 EVENT_ROLES = {"view": "accessor", "click": "mutator", "error": "validator", "signup": "factory", "purchase": "dispatcher"}
 
 
@@ -68,7 +66,7 @@ def _source_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _source_pairs(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
     """Sources as files: shared lemmas are found by an equi-join, never source by source."""
-    bags = _source_bags(spark, sf_dir)
+    bags = materialize(_source_bags(spark, sf_dir), "bags")  # read four times below
     sizes = bags.groupBy("author").agg(F.count("*").alias("size"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     met = bags.alias("x").join(bags.alias("y"), (F.col("x.lemma") == F.col("y.lemma")) & (F.col("x.author") < F.col("y.author")))
     by = met.groupBy(F.col("x.author").alias("author_a"), F.col("y.author").alias("author_b")).agg(F.count("*").alias("shared"), F.sum(F.col("x.n") * F.col("y.n")).cast("double").alias("dot"))
@@ -122,7 +120,7 @@ QUERIES = {
 }
 
 _COOC = f"""{TOKENS}, c AS (SELECT file_path, lemma, row_number() OVER (PARTITION BY file_path ORDER BY seq) AS i FROM tok WHERE NOT is_stop),
-edges AS (SELECT least(x.lemma, y.lemma) AS a, greatest(x.lemma, y.lemma) AS b, count(*) AS weight FROM c x JOIN c y ON x.file_path = y.file_path AND y.i BETWEEN x.i + 1 AND x.i + 5 AND x.lemma <> y.lemma GROUP BY ALL HAVING count(*) >= {MIN_WEIGHT}),
+edges AS (SELECT least(x.lemma, y.lemma) AS a, greatest(x.lemma, y.lemma) AS b, count(*) AS weight FROM c x JOIN c y ON x.file_path = y.file_path AND y.i BETWEEN x.i + 1 AND x.i + 5 AND x.lemma <> y.lemma GROUP BY ALL),
 two AS (SELECT a, b, weight FROM edges UNION ALL SELECT b, a, weight FROM edges)"""
 _ROLES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ROLES.items()) + " END"
 _SEQ = f"""s AS (SELECT user_id, ts, event_id, {_ROLES} AS role FROM events), w AS (SELECT *, lag(role) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM s WHERE role IS NOT NULL)"""
@@ -142,6 +140,9 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 ORACLE_SQL = {
+    "author_profile": f"""SELECT source AS author, count(*) AS files, sum(token_count)::BIGINT AS tokens, avg(avg_identifier_length) AS mean_identifier_length, avg(type_token_ratio) AS mean_type_token_ratio,
+count(*) FILTER (WHERE identifier_style = 'snake_case') AS snake_files, count(*) FILTER (WHERE identifier_style = 'PascalCase') AS pascal_files, count(*) FILTER (WHERE identifier_style = 'camelCase') AS camel_files
+FROM ({ORACLE['module_metrics']}) m JOIN documents ON file_path = source || '/' || doc_id || '.' || lang GROUP BY source""",
     "mfw_author": f"WITH {TOKENS} SELECT author, lemma, freq, rank FROM (SELECT author, lemma, count(*) AS freq, row_number() OVER (PARTITION BY author ORDER BY count(*) DESC, lemma) AS rank FROM tok WHERE NOT is_stop GROUP BY author, lemma) WHERE rank <= 50",
     "delta_pairs": f"""WITH {TOKENS}, top AS (SELECT lemma FROM tok WHERE NOT is_stop GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 50), sz AS (SELECT author, count(*) AS size FROM tok GROUP BY author),
 f AS (SELECT sz.author, top.lemma, (SELECT count(*) FROM tok t WHERE NOT t.is_stop AND t.author = sz.author AND t.lemma = top.lemma) / size AS f FROM sz, top),
@@ -156,7 +157,8 @@ SELECT bucket, count(*) AS new_words, sum(count(*)) OVER (ORDER BY bucket)::BIGI
     "clustering": f"""WITH {_COOC}, d AS (SELECT a AS node, count(*) AS degree FROM two GROUP BY a),
 t AS (SELECT x.a AS node, count(*) AS triangles FROM two x JOIN two y ON x.a = y.a AND x.b < y.b JOIN edges e ON e.a = x.b AND e.b = y.b GROUP BY x.a)
 SELECT node, degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END::DOUBLE AS clustering FROM d LEFT JOIN t USING (node)""",
-    "components": f"WITH RECURSIVE {_COOC}, r AS (SELECT a AS node, a AS component FROM two UNION SELECT two.b, r.component FROM r JOIN two ON two.a = r.node WHERE r.component < two.b) SELECT node, min(component) AS component FROM r GROUP BY node",
+    "components": f"""WITH RECURSIVE {_COOC}, r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM two UNION
+SELECT two.b, min(r.component) FROM r JOIN two ON two.a = r.node JOIN recurring.r known ON known.node = two.b WHERE r.component < known.component GROUP BY two.b) SELECT node, component FROM r""",
     "pagerank_fixed_iter": _pagerank_sql(5),
     "levenshtein_names": "SELECT a.n_name AS name_a, b.n_name AS name_b, levenshtein(a.n_name, b.n_name)::INT AS distance, 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) AS ratio FROM nation a JOIN nation b ON a.n_name < b.n_name",
     "jaccard_files": f"WITH {_BAGS}, {_PAIRS} SELECT author_a, author_b, shared / (x.size + y.size - shared) AS jaccard FROM p JOIN sz x ON author_a = x.author JOIN sz y ON author_b = y.author",

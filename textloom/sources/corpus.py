@@ -6,6 +6,7 @@ tokens (file_path, language, author, line, pos_in_line, text, lemma, pos, is_sto
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,30 @@ def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), ign
     return raw.select(F.col("path").alias("file_path"), A.language_of(F.col("path")).alias("language"), F.lit(None).cast("string").alias("author"), text.alias("text"))
 
 
+#: Annotated forms, of some tens of bytes each, are broadcast up to this number.
+BROADCAST_FORMS = 500_000
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Temporary views for SQL: the tables of ``sf_dir`` that exist there, and ``files``, ``lines`` and ``tokens`` over its documents."""
+    made = []
+    for name in TABLES:
+        try:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        made.append(name)
+    if "documents" in made:
+        files = document_files(spark, sf_dir)
+        for name, frame in {"files": files, "lines": lines(files), "tokens": tokens(files)}.items():
+            frame.createOrReplaceTempView(name)
+            made.append(name)
+    return made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
