@@ -11,6 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import language_id, line_dedup, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding
 
@@ -76,6 +77,15 @@ def test_repeated_rows_agree(spark):
         assert len(found[8]) == 1, name
 
 
+def test_kept_text_is_the_same_in_any_run(spark):
+    """Rows that share id and shingles but not their text: the same one stays, however the rows are dealt."""
+    words = "one two three four five six seven eight"
+    rows = [(1, words.replace(" ", gap), n) for n, gap in enumerate([" ", "  ", "\n", "\t", " \n"])] + [(2, None, 9), (None, "", 10), (None, " ", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = {tuple(sorted(map(repr, ngram_join.drop_near_copies(docs.repartition(n, "n_chars").sortWithinPartitions(F.desc("n_chars") if n % 2 else "n_chars")).collect()))) for n in (1, 2, 5)}
+    assert len(kept) == 1 and len(kept.pop()) == 3
+
+
 def brute_feature(text):
     """Difference hash of exact box means, rounded half up, of the padded bytes 64 a row."""
     raw = (text or "").encode()

@@ -20,7 +20,7 @@ when den * |A & B| >= num * |A | B|.
 Defined results: a document with fewer than n words has its whole sequence as one shingle; without
 words its set is empty and it links with nothing, equal rows included; rows that repeat a doc_id
 are documents of their own; a null doc_id joins components and never names one unless all ids there are null;
-an empty table gives an empty result; other columns pass through ``drop_near_copies`` and are ignored elsewhere.
+a very long text is worked on in one row, as arrays of its words' hashes; an empty table gives an empty result; other columns pass through ``drop_near_copies`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -269,15 +269,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     rows, classes = similar(docs, doc_id, text, n, num, den)
     ids = classes.groupBy("component").agg(F.min("min_doc").alias("component_id"))
     named = classes.join(ids, "component").select("fp1", "fp2", "component_id")
-    empty = F.col("n_shingles") == 0
-    out = rows.join(named, ["fp1", "fp2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # documents without words share one empty set and link with nothing, so they need no join
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where("n_shingles > 0").join(named, ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; its columns as they were.
 
-    Documents without words all stay, but for exact repeats of (doc_id, set), of which one stays.
+    Documents without words all stay, but for repeats of (doc_id, set), of which one stays. Of rows that share doc_id and set
+    the one whose text has the lowest hash stays.
     """
     _, classes = similar(docs, doc_id, text, n, num, den)
     order = F.struct(F.col("min_doc").isNull(), "min_doc", "fp1", "fp2")
@@ -292,6 +293,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     row = kind.schema["row"].dataType.simpleString()
     found = kind.mapInArrow(keyed, f"row {row}, id long, fp1 long, fp2 long")
-    one = found.groupBy("id", "fp1", "fp2").agg(F.first("row").alias("row"))
+    # rows that share id and set may differ in their text: the one whose text hashes lowest stays, in any run
+    one = found.groupBy("id", "fp1", "fp2").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
     kept = one.join(keepers.withColumn("hit", F.lit(True)).withColumnRenamed("id", "kid"), (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")) & F.col("id").eqNullSafe(F.col("kid")), "left")
     return kept.where("hit or (fp1 = 0 and fp2 = 0)").select("row.*")
