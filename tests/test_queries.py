@@ -13,7 +13,7 @@ def rounded(rows):
     return sorted(str([round(x, 6) + 0.0 if isinstance(x, float) else str(x) for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["wordlist_lemma", "vocab_profile", "ngrams_2", "collocations", "keyness_vs_rest", "conditional_entropy", "semantic_density", "role_sequences", "clone_candidates", "levenshtein_names", "content_language", "author_profile", "concordance_tagged", "jaccard_files", "source_functions", "source_classes", "source_modules", "source_lines", "source_authors"])
+@pytest.mark.parametrize("name", ["wordlist_lemma", "vocab_profile", "ngrams_2", "collocations", "keyness_vs_rest", "conditional_entropy", "semantic_density", "role_sequences", "clone_candidates", "levenshtein_names", "content_language", "author_profile", "concordance_tagged", "jaccard_files", "source_functions", "source_classes", "source_modules", "source_lines", "source_authors", "syntagmas", "corpus_stats", "directory_groups"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -62,3 +62,17 @@ def test_cooccurrence_without_broadcast(spark, monkeypatch):
     want = rounded(G.cooccurrence(files).collect())
     monkeypatch.setattr(C, "BROADCAST_FORMS", 0)
     assert rounded(G.cooccurrence(files).collect()) == want
+
+
+def test_reports_of_hard_files(spark):
+    from textloom.operators import corpus_queries as Q
+
+    schema = "file_path string, language string, author string, text string"
+    empty = spark.createDataFrame([], schema)
+    assert [tuple(r) for r in Q.corpus_stats(empty).collect()] == [(0, 0, 0, 0)]
+    assert Q.directory_groups(empty).count() == Q.syntagmas(empty).count() == 0
+    rows = [("a/x.en", "en", "a", "get_user Name Name\nnull from get_user"), ("a/y.fr", None, "a", None), ("z", "fr", "a", "..."), ("b/c/z", "en", "b", "Name")]
+    files = spark.createDataFrame(rows, schema)
+    assert [tuple(r)[:3] for r in Q.syntagmas(files).collect()] == [("a/x.en", 0, "get_user Name Name null")]
+    assert [tuple(r) for r in Q.corpus_stats(files).select("files", "tokens", "languages").collect()] == [(2, 7, 1)]
+    assert {tuple(r) for r in Q.directory_groups(files).collect()} == {("", 1, "z"), ("a", 2, "x.en y.fr"), ("b/c", 1, "z")}

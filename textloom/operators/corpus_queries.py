@@ -201,6 +201,22 @@ def syntagmas(files: DataFrame) -> DataFrame:
     return lemmas.select("file_path", F.col("at").cast("long").alias("start_seq"), F.array_join("run", " ").alias("text"), F.array_join("lemmas", " ").alias("lemmas"), (F.size(F.array_distinct("lemmas")) / F.size("run")).alias("semantic_density"))
 
 
+def corpus_stats(files: DataFrame) -> DataFrame:
+    """One row: files that hold tokens, tokens, distinct lemmas, languages of those files."""
+    forms = form_counts(files).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("tokens"), F.countDistinct("lemma").alias("lemmas"))
+    held = files.where(F.col("text").rlike(A.WORD)).agg(F.countDistinct("file_path").alias("files"), F.countDistinct("language").alias("languages"))
+    return held.join(F.broadcast(forms)).select("files", "tokens", "lemmas", "languages")
+
+
+def directory_groups(files: DataFrame, directories: int = 3, names: int = 3) -> DataFrame:
+    """The first directories by name with their number of files and the first names in each; a file without a directory has ''."""
+    at = files.select(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("directory"), F.substring_index("file_path", "/", -1).alias("name"))
+    first = at.groupBy("directory").agg(F.count("*").alias("files")).orderBy("directory").limit(directories)
+    some = at.withColumn("__n", F.row_number().over(Window.partitionBy("directory").orderBy("name"))).where(F.col("__n") <= names)
+    listed = some.groupBy("directory").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("names"))
+    return first.join(listed, "directory").select("directory", "files", "names")
+
+
 def language_distribution(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"))
 

@@ -39,6 +39,8 @@ QUERIES = {
         "module_metrics": Q.module_metrics,
         "scope_tokens": Q.scope_tokens,
         "syntagmas": Q.syntagmas,
+        "corpus_stats": Q.corpus_stats,
+        "directory_groups": Q.directory_groups,
         "language_distribution": Q.language_distribution,
     }.items()
 } | {"content_language": lambda spark, sf_dir: Q.content_languages(C.table(spark, sf_dir, "pages"), "html")}

@@ -102,6 +102,9 @@ FROM (SELECT file_path, line, string_agg(line_text, chr(10)) OVER (PARTITION BY
 SELECT language, scope, count(*) AS n, sum(instr(line_text, text) - 1)::BIGINT AS column_sum FROM tok JOIN s USING (file_path, line) GROUP BY ALL""",
     "syntagmas": f"""WITH {TOKENS}, i AS (SELECT file_path, seq, text, lemma, pos, sum((pos <> 'NOUN')::INT) OVER (PARTITION BY file_path ORDER BY seq) AS island FROM tok)
 SELECT file_path, min(seq) AS start_seq, string_agg(text, ' ' ORDER BY seq) AS text, string_agg(lemma, ' ' ORDER BY seq) AS lemmas, count(DISTINCT lemma) / count(*) AS semantic_density FROM i GROUP BY file_path, island HAVING count(*) > 1 AND arg_min(pos, seq) = 'VERB'""",
+    "corpus_stats": f"WITH {TOKENS} SELECT count(DISTINCT file_path) AS files, count(*) AS tokens, count(DISTINCT lemma) AS lemmas, count(DISTINCT language) AS languages FROM tok",
+    "directory_groups": """WITH f AS (SELECT source AS directory, doc_id || '.' || lang AS name FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY name) AS i, count(*) OVER (PARTITION BY directory) AS files FROM f)
+SELECT directory, files, string_agg(name, ' ' ORDER BY i) AS names FROM n WHERE i <= 3 GROUP BY directory, files ORDER BY directory LIMIT 3""",
     "language_distribution": f"WITH {FILES} SELECT language, count(*) AS files FROM files GROUP BY language",
     "content_language": "SELECT extension, count(*) AS files, count(*) / sum(count(*)) OVER () AS share FROM (SELECT CASE " + " ".join("WHEN " + f"regexp_matches(html, '(?im)(?:{'|'.join(p).replace(chr(39), chr(39) * 2)})')" + f" THEN '{e}'" for e, p in L.CONTENT_RULES.items()) + " ELSE '.unknown' END AS extension FROM pages) GROUP BY extension",
 }
