@@ -109,7 +109,7 @@ QUERIES = {
     "degree_centrality": _network(G.degree),
     "clustering": _network(G.clustering),
     "components": _network(G.communities),
-    "pagerank_fixed_iter": _network(lambda e: G.pagerank(e, 5)),
+    "pagerank_fixed_iter": _numbered(lambda net: K.pagerank(net, 5), lambda e: G.pagerank(e, 5)),
     "eigenvector_fixed_iter": _numbered(lambda net: K.eigenvector(net, 5), lambda e: G.eigenvector(e, 5)),
     "betweenness": _network(G.betweenness),
     "key_concepts": _network(G.key_concepts),
