@@ -106,7 +106,7 @@ QUERIES = {
     "vocabulary_growth": lambda spark, sf_dir: Y.vocabulary_growth(_dated(spark, sf_dir)),
     "abstraction_trend": lambda spark, sf_dir: Y.abstraction_trend(_classes(spark, sf_dir)),
     "cooccurrence_edges": _documents(lambda f: G.cooccurrence(f, 5)),
-    "degree_centrality": _network(G.degree),
+    "degree_centrality": _numbered(K.degree, G.degree),
     "clustering": _network(G.clustering),
     "components": _numbered(K.components, G.communities),
     "pagerank_fixed_iter": _numbered(lambda net: K.pagerank(net, 5), lambda e: G.pagerank(e, 5)),
