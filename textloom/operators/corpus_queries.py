@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import annotate as A
+from textloom.operators import measures as M
 from textloom.sources import corpus as C
 
 
@@ -134,7 +135,7 @@ def entropy(counts: DataFrame, *by: str, n: str = "n") -> DataFrame:
 
 
 def entropy_by_language(files: DataFrame) -> DataFrame:
-    by_file = entropy(tag_counts(files, "file_path", "language"), "file_path", "language")
+    by_file = _by_file(files, lambda _, c: c.select("file_path", "language", M.tag_entropy().alias("entropy")), lambda f: entropy(tag_counts(f, "file_path", "language"), "file_path", "language"))
     mean = by_file.groupBy("language").agg(F.avg("entropy").alias("mean_entropy"), F.count("*").alias("files"))
     return mean.withColumn("band", F.when(F.col("mean_entropy") > 2.5, "high").when(F.col("mean_entropy") > 1.5, "medium").otherwise("low"))
 
@@ -152,11 +153,28 @@ def conditional_entropy(files: DataFrame, given: str = "VERB", target: str = "NO
     return files.select("file_path").join(found, "file_path", "left").select("file_path", F.coalesce("v", F.lit(0.0)).alias("conditional_entropy"))
 
 
+def _by_file(files: DataFrame, measure, shuffled) -> DataFrame:
+    """``measure`` of the files' counts, found in the row; ``shuffled`` of files that lie in several rows."""
+    alone, repeated = M.split_repeated(files)
+    found = measure(alone, M.file_counts(alone))
+    return found if repeated is None else found.unionByName(shuffled(repeated))
+
+
+def file_entropy(files: DataFrame) -> DataFrame:
+    """Shannon entropy of each file's tags."""
+    return _by_file(files, lambda _, c: c.select("file_path", M.tag_entropy().alias("entropy")), lambda f: entropy(tag_counts(f, "file_path"), "file_path"))
+
+
 def semantic_density(files: DataFrame) -> DataFrame:
     """Distinct content lemmas over the last line that has one."""
-    forms = C.raw_tokens(files).groupBy("file_path", "text").agg(F.max("line").alias("last"))
-    found = C.annotate_forms(forms).where("not is_stop").groupBy("file_path").agg(F.countDistinct("lemma").alias("lemmas"), F.max("last").alias("last_line"))
-    return found.select("file_path", "lemmas", "last_line", (F.col("lemmas") / F.greatest("last_line", F.lit(1))).alias("semantic_density"))
+    density = (F.col("lemmas") / F.greatest("last_line", F.lit(1))).alias("semantic_density")
+
+    def shuffled(files: DataFrame) -> DataFrame:
+        forms = C.raw_tokens(files).groupBy("file_path", "text").agg(F.max("line").alias("last"))
+        return C.annotate_forms(forms).where("not is_stop").groupBy("file_path").agg(F.countDistinct("lemma").alias("lemmas"), F.max("last").alias("last_line")).select("file_path", "lemmas", "last_line", density)
+
+    counted = lambda _, c: c.where("content_tokens > 0").select("file_path", F.col("unique_tokens").alias("lemmas"), F.col("last_line").cast("int").alias("last_line")).select("*", density)
+    return _by_file(files, counted, shuffled)
 
 
 def module_metrics(files: DataFrame) -> DataFrame:

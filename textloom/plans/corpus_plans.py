@@ -32,7 +32,7 @@ QUERIES = {
         "keyness_lang": lambda f: Q.keyness(f, F.col("file_path").endswith(".fr"), F.col("file_path").endswith(".en")),
         "keyness_vs_rest": lambda f: Q.keyness(f, F.col("language") == "en", F.col("language") != "en"),
         "pos_distribution": lambda f: Q.tag_counts(f, "language"),
-        "shannon_entropy_file": lambda f: Q.entropy(Q.tag_counts(f, "file_path"), "file_path"),
+        "shannon_entropy_file": Q.file_entropy,
         "entropy_by_language": Q.entropy_by_language,
         "conditional_entropy": Q.conditional_entropy,
         "semantic_density": Q.semantic_density,
