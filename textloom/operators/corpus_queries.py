@@ -179,25 +179,33 @@ def semantic_density(files: DataFrame) -> DataFrame:
 
 def module_metrics(files: DataFrame) -> DataFrame:
     """One row per file: sizes, lines, tokens, tag entropy, identifier style."""
-    forms = form_counts(files, "file_path", "language")
-    f, t = F.col("freq"), F.col("text")
-    noun = F.col("pos") == "NOUN"
-    count = lambda test: F.sum(F.when(test, f).otherwise(0))
-    by = forms.groupBy("file_path", "language").agg(
-        F.sum("freq").alias("token_count"), F.countDistinct(F.when(~F.col("is_stop"), F.col("lemma"))).alias("unique_tokens"), count(noun).alias("__nouns"),
-        count(noun & t.contains("_") & ~t.startswith("_")).alias("__snake"), count(noun & F.substring(t, 2, 1 << 20).rlike(r"\p{Lu}")).alias("__camel"), count(noun & t.rlike(r"^\p{Lu}")).alias("__pascal"),
-        F.sum(F.when(noun, f * F.length(t))).alias("__letters"),
-    )
-    tags = entropy(forms.groupBy("file_path", "pos").agg(F.sum("freq").alias("n")), "file_path")
-    share = lambda c: F.try_divide(F.col(c), F.col("__nouns"))
-    style = F.when(share("__snake") > 0.5, "snake_case").when(share("__pascal") > 0.5, "PascalCase").when(share("__camel") > 0.3, "camelCase").otherwise("none")
     lines = F.split("text", "\n")
-    facts = files.select("file_path", F.octet_length("text").cast("long").alias("size_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.size(lines).cast("long").alias("lines_total"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("lines_blank"))
-    return facts.join(by, "file_path").join(tags, "file_path").select(
+    facts = [F.octet_length("text").cast("long").alias("size_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.size(lines).cast("long").alias("lines_total"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("lines_blank")]
+    share = lambda c: F.try_divide(F.col(c), F.col("n_NOUN"))
+    style = F.when(share("snake") > 0.5, "snake_case").when(share("pascal") > 0.5, "PascalCase").when(share("camel") > 0.3, "camelCase").otherwise("none")
+    ready = lambda df: df.select(
         "file_path", "language", "size_bytes", "sha256", "lines_total", "lines_blank", "token_count", "unique_tokens", (F.col("unique_tokens") / F.greatest("token_count", F.lit(1))).alias("type_token_ratio"),
-        F.col("entropy").alias("semantic_entropy"), style.alias("identifier_style"), F.try_divide("__letters", "__nouns").alias("avg_identifier_length"),
+        F.col("entropy").alias("semantic_entropy"), style.alias("identifier_style"), F.try_divide("letters", "n_NOUN").alias("avg_identifier_length"),
     )
 
+    def shuffled(files: DataFrame) -> DataFrame:
+        forms = form_counts(files, "file_path", "language")
+        f, t = F.col("freq"), F.col("text")
+        noun = F.col("pos") == "NOUN"
+        count = lambda test: F.sum(F.when(test, f).otherwise(0))
+        by = forms.groupBy("file_path", "language").agg(
+            F.sum("freq").alias("token_count"), F.countDistinct(F.when(~F.col("is_stop"), F.col("lemma"))).alias("unique_tokens"), count(noun).alias("n_NOUN"),
+            count(noun & t.contains("_") & ~t.startswith("_")).alias("snake"), count(noun & F.substring(t, 2, 1 << 20).rlike(r"\p{Lu}")).alias("camel"), count(noun & t.rlike(r"^\p{Lu}")).alias("pascal"),
+            F.sum(F.when(noun, f * F.length(t))).alias("letters"),
+        )
+        tags = entropy(forms.groupBy("file_path", "pos").agg(F.sum("freq").alias("n")), "file_path")
+        return ready(files.select("file_path", *facts).join(by, "file_path").join(tags, "file_path"))
+
+    def counted(files: DataFrame, counts: DataFrame) -> DataFrame:
+        return ready(files.select("file_path", *facts).join(counts.withColumn("entropy", M.tag_entropy()), "file_path"))
+
+    return _by_file(files, counted, shuffled)
+
 
 def scope_tokens(files: DataFrame) -> DataFrame:
     return C.token_columns(files).groupBy("language", "scope").agg(F.count("*").alias("n"), F.sum("column").alias("column_sum"))
