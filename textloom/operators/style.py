@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from textloom.functions import annotate as A
 from textloom.operators import corpus_queries as Q
+from textloom.operators import measures as M
 from textloom.sources import corpus as C
 
 
@@ -90,10 +91,17 @@ def kolmogorov_proxy(functions: DataFrame) -> DataFrame:
 
 def information_profile(files: DataFrame) -> DataFrame:
     """Entropy, its maximum, density and packed share of each file."""
-    tags = Q.tag_counts(files, "file_path")
-    top = tags.groupBy("file_path").agg(F.log2(F.count("*").cast("double")).alias("max_entropy"))
-    packed = files.select("file_path", _packed_share(F.coalesce("text", F.lit(""))).alias("kolmogorov_proxy"))
-    return Q.entropy(tags, "file_path").join(top, "file_path").join(Q.semantic_density(files).select("file_path", "semantic_density"), "file_path", "left").join(packed, "file_path").fillna(0.0, ["semantic_density"])
+    packed = lambda files: files.select("file_path", _packed_share(F.coalesce("text", F.lit(""))).alias("kolmogorov_proxy"))
+
+    def shuffled(files: DataFrame) -> DataFrame:
+        tags = Q.tag_counts(files, "file_path")
+        top = tags.groupBy("file_path").agg(F.log2(F.count("*").cast("double")).alias("max_entropy"))
+        return Q.entropy(tags, "file_path").join(top, "file_path").join(Q.semantic_density(files).select("file_path", "semantic_density"), "file_path", "left").join(packed(files), "file_path").fillna(0.0, ["semantic_density"])
+
+    alone, repeated = M.split_repeated(files)
+    density = F.when(F.col("content_tokens") > 0, F.col("unique_tokens") / F.greatest("last_line", F.lit(1))).otherwise(0.0)
+    found = M.file_counts(alone).select("file_path", M.tag_entropy().alias("entropy"), F.log2(M.n_tags().cast("double")).alias("max_entropy"), density.alias("semantic_density")).join(packed(alone), "file_path")
+    return found if repeated is None else found.unionByName(shuffled(repeated))
 
 
 def vocabulary_growth(dated: DataFrame, bucket: str = "day") -> DataFrame:
