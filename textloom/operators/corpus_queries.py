@@ -208,7 +208,7 @@ def module_metrics(files: DataFrame) -> DataFrame:
 
 
 def scope_tokens(files: DataFrame) -> DataFrame:
-    return C.token_columns(files).groupBy("language", "scope").agg(F.count("*").alias("n"), F.sum("column").alias("column_sum"))
+    return M.scope_columns(files)
 
 
 def syntagmas(files: DataFrame) -> DataFrame:
