@@ -99,6 +99,8 @@ def ngrams(files: DataFrame, n: int = 3, min_freq: int = 2, pos_pattern: list[st
     """Runs of n tokens inside a line whose first token is no stop word; cut from the line's token array, no join."""
     if pos_pattern is not None and len(pos_pattern) < n:
         raise ValueError("the pattern needs a tag for each position")
+    if k:
+        return M.frequent_ngrams(files, n, min_freq, pos_pattern, k).orderBy(F.desc("freq"), "ngram").limit(k)
     w = F.col("w")
     at = files.select(F.explode(F.split("text", "\n")).alias("l")).select(A.words(F.col("l")).alias("w")).where(F.size("w") >= n)
     grams = at.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).alias("ngram"))
