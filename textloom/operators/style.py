@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 from textloom.functions import annotate as A
 from textloom.operators import corpus_queries as Q
 from textloom.operators import measures as M
+from textloom.scratch import materialize
 from textloom.sources import corpus as C
 
 
 def frequent_by_author(files: DataFrame, k: int = 50) -> DataFrame:
-    counts = Q.form_counts(files, "author").where("not is_stop").groupBy("author", "lemma").agg(F.sum("freq").alias("freq"))
+    counts = M.lemma_counts(files, "author").where("not is_stop").drop("is_stop")
     order = Window.partitionBy("author").orderBy(F.desc("freq"), "lemma")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -35,9 +36,9 @@ def delta_distances(files: DataFrame, n: int = 50, burrows: bool = False) -> Dat
 
     Scores are standardised within an author's vector, or with ``burrows`` across authors.
     """
-    forms = Q.form_counts(files, "author")
+    forms = materialize(M.lemma_counts(files, "author"), "lemmas")  # read three times below
     sizes = forms.groupBy("author").agg(F.sum("freq").alias("size"))
-    counts = forms.where("not is_stop").groupBy("author", "lemma").agg(F.sum("freq").alias("freq"))
+    counts = forms.where("not is_stop").drop("is_stop")
     top = counts.groupBy("lemma").agg(F.sum("freq").alias("all")).orderBy(F.desc("all"), "lemma").limit(n).select("lemma")
     grid = sizes.join(F.broadcast(top)).join(counts, ["author", "lemma"], "left")
     rel = grid.select("author", "lemma", (F.coalesce("freq", F.lit(0)) / F.col("size")).alias("f"))

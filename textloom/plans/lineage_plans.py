@@ -11,6 +11,7 @@ from textloom.operators import cells as K
 from textloom.operators import corpus_queries as Q
 from textloom.operators import graph as G
 from textloom.operators import lineage as N
+from textloom.operators import measures as M
 from textloom.operators import style as Y
 from textloom.plans.corpus_sql import ORACLE, TOKENS, WORD
 from textloom.scratch import materialize
@@ -72,7 +73,7 @@ def levenshtein_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.form_counts(C.document_files(spark, sf_dir), "author").where("not is_stop").groupBy("author", "lemma").agg(F.sum("freq").alias("n"))
+    return M.lemma_counts(C.document_files(spark, sf_dir), "author").where("not is_stop").select("author", "lemma", F.col("freq").alias("n"))
 
 
 def _source_pairs(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
