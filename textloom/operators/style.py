@@ -50,8 +50,14 @@ def delta_distances(files: DataFrame, n: int = 50, burrows: bool = False) -> Dat
 
 
 def lexical_complexity(files: DataFrame) -> DataFrame:
-    counts = Q.form_counts(files, "file_path").where("not is_stop").groupBy("file_path", "lemma").agg(F.sum("freq").alias("freq"))
-    return counts.groupBy("file_path").agg(F.sum("freq").alias("total"), F.count("*").alias("types")).withColumn("ttr", F.col("types") / F.col("total"))
+    def shuffled(files: DataFrame) -> DataFrame:
+        counts = Q.form_counts(files, "file_path").where("not is_stop").groupBy("file_path", "lemma").agg(F.sum("freq").alias("freq"))
+        return counts.groupBy("file_path").agg(F.sum("freq").alias("total"), F.count("*").alias("types"))
+
+    alone, repeated = M.split_repeated(files)
+    found = M.file_counts(alone).where("content_tokens > 0").select("file_path", F.col("content_tokens").alias("total"), F.col("unique_tokens").alias("types"))
+    found = found if repeated is None else found.union(shuffled(repeated))
+    return found.withColumn("ttr", F.col("types") / F.col("total"))
 
 
 def segment_count(lemmas, level: float, band: float) -> int:
