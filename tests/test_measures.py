@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,15 @@ def test_only_frequent_ngrams_are_shuffled(spark):
     assert [tuple(r) for r in got.collect()] == [("same three words", 40)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_mean_by_author_does_not_depend_on_order(spark):
+    rng = random.Random(4)
+    rows = [(f"a/{i}", "en", "a", " ".join(rng.choices(["ab", "abcd", "abcdefg", "x", "yzzz"], k=rng.randint(1, 40)))) for i in range(400)]
+    exact = []
+    for order in (rows, rows[::-1]):
+        files = spark.createDataFrame(order, SCHEMA)
+        ratios = [(r.unique_tokens, r.token_count) for r in Q.module_metrics(files).collect()]
+        want = float(sum(Fraction(a / b) for a, b in ratios) / len(ratios))
+        exact.append(Y.author_profile(files).first().mean_type_token_ratio == want)
+    assert exact == [True, True]

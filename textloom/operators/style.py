@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,16 @@ def frequent_by_author(files: DataFrame, k: int = 50) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def exact_mean(column: str) -> Column:
+    """Summed as decimals of 18 places, so that the mean of doubles does not depend on the rows' order."""
+    return F.avg(F.col(column).cast("decimal(38,18)")).cast("double")
+
+
 def author_profile(files: DataFrame) -> DataFrame:
     metrics = Q.module_metrics(files).join(files.select("file_path", "author"), "file_path")
     style = lambda s: F.count_if(F.col("identifier_style") == s)
     return metrics.groupBy("author").agg(
-        F.count("*").alias("files"), F.sum("token_count").alias("tokens"), F.avg("avg_identifier_length").alias("mean_identifier_length"), F.avg("type_token_ratio").alias("mean_type_token_ratio"),
+        F.count("*").alias("files"), F.sum("token_count").alias("tokens"), exact_mean("avg_identifier_length").alias("mean_identifier_length"), exact_mean("type_token_ratio").alias("mean_type_token_ratio"),
         style("snake_case").alias("snake_files"), style("PascalCase").alias("pascal_files"), style("camelCase").alias("camel_files"),
     )
 
