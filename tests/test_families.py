@@ -55,3 +55,22 @@ def test_query_takes_every_name(spark, tmp_path):
     rows = entry.queries()["identifier_families"](spark, str(tmp_path)).collect()
     assert ("quizzebuwovuh", "quizzebuwovuk") in {tuple(r.members.split()) for r in rows}
     assert sum(r["size"] for r in rows) == len(common) + 2
+
+
+@pytest.mark.parametrize("first,second,sent,together", [(3, 5, 7, 11), (1, 1, 1000, 1000)])
+def test_families_do_not_depend_on_what_is_compared_first(spark, monkeypatch, first, second, sent, together):
+    """Names beside the largest family were spread over lengths and salts, and the planner sent that to all tasks by way of the driver."""
+    from textloom.operators import nearnames as NN
+
+    for name, value in (("FIRST", first), ("SECOND", second), ("SENT", sent), ("TOGETHER", together)):
+        monkeypatch.setattr(NN, name, value)
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.choice([3, 4, 6, 9, 13, 70, 300]))) for _ in range(120)} | {"treeWalk", "walk_deep", "Deep", "qq", "qr", "QQ"})
+    names += ["j" + n[1:-1] + "k" for n in names[:40]]
+    names = sorted(set(names))
+    found = N.family_groups(spark.createDataFrame([(n,) for n in names], "name string"))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.component, []).append(r.node)
+    assert {tuple(sorted(g)) for g in groups.values() if len(g) > 1} == brute_families(names, 0.55)
+    assert all(c == min(g) for c, g in groups.items()) and sum(map(len, groups.values())) == len(names)
