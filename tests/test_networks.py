@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from textloom.functions.lexicon import STOP_WORDS
+from textloom.operators import between as B
+from textloom.operators import cells as K
 from textloom.operators import graph as G
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +83,37 @@ def test_key_concepts_and_betweenness_hold_rare_pairs(spark, tmp_path):
     want = brute_betweenness([(a, b, w) for (a, b), w in edges.items()])
     assert {r.node: r.betweenness for r in entry.queries()["betweenness"](spark, sf).collect()} == pytest.approx(want)
     assert {r.node for r in entry.queries()["key_concepts"](spark, sf).collect()} == set(want)
+
+
+def brute_on_cells(spark, seed):
+    """Files of few words, so that weights differ and shortest paths tie, and the edges by their lemmas."""
+    rng = random.Random(seed)
+    words = ["zorp", "blick", "mund", "tarn", "quell", "vorn", "plim", "drak", "fenn", "gask"]
+    texts = [" ".join(rng.choices(words[: rng.randint(2, 10)], k=rng.randint(1, 8))) for _ in range(8)] + ["krak hupp hupp krak", "lurn mopp narf", "solo"]
+    files = spark.createDataFrame([(f"f{i}", "en", "web", t) for i, t in enumerate(texts)], "file_path string, language string, author string, text string")
+    return files, [(r.a, r.b, r.weight) for r in G.cooccurrence(files, 2).collect()]
+
+
+@pytest.mark.parametrize("seed,seen", [(1, 1 << 22), (2, 3), (3, 1)])
+def test_betweenness_over_cells(spark, monkeypatch, seed, seen):
+    monkeypatch.setattr(B, "SEEN", seen)
+    files, edges = brute_on_cells(spark, seed)
+    net = K.Network(files, 2)
+    assert len({w for *_, w in edges}) > 2
+    assert {r.node: r.betweenness for r in B.betweenness(net).collect()} == pytest.approx(brute_betweenness(edges))
+    want = {r.node: r.concept_score for r in G.key_concepts(spark.createDataFrame(edges, "a string, b string, weight long"), 5).collect()}
+    assert {r.node: r.concept_score for r in B.key_concepts(net, 5).collect()} == pytest.approx(want)
+    assert not B.fits(net, len(edges) - 1) and B.fits(net, len(edges))
+
+
+def test_betweenness_makes_no_row_for_source_and_node(spark, tmp_path, monkeypatch):
+    """Every (source, node) was a row that was shuffled and written for each round of a distance."""
+    monkeypatch.setattr(G, "_dependencies", None)
+    sf = fixture(spark, tmp_path)
+    assert entry.queries()["betweenness"](spark, sf).count() > 3
+
+
+def test_betweenness_of_no_pair(spark):
+    files = brute_on_cells(spark, 1)[0].where("text = 'solo'")
+    for some in (files, files.limit(0)):
+        assert B.fits(K.Network(some)) and B.betweenness(K.Network(some)).count() == B.key_concepts(K.Network(some)).count() == 0
